@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import mixing, packing, quality, simhash
+from basalt.llm import mixing, packing, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +35,18 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(_table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.train(spark))
+    return found.select("doc_id", "word_at", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "probability", "is_secret")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_source_mixing": op7_source_mixing,
+        "op9_secret_scans": op9_secret_scans,
     }
 
 
