@@ -13,11 +13,10 @@ result; more than MAX_SOURCES sources raise an error, because each needs a weigh
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.store import staged
+from basalt.llm.store import in_files, place, staged
 
 WEIGHTS, CAP, SEED = (5.0, 2.0, 1.0), 3, 42
 MAX_SOURCES = 50_000
@@ -125,18 +124,9 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of docs that the mix takes, each as often as it takes it, with exactly their columns.
 
     A row is told from others like it by its place in its file, so docs should come from Parquet; other tables are written first."""
-    if "_metadata" in docs.columns or not _from_files(docs):
-        docs = staged(docs, "mix-input")
-    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    slim = docs.select(*place, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"))
+    docs, at = in_files(docs), place()
+    slim = docs.select(*at, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _size(text_col).alias("size"))
     taken = _mix(slim, weights, cap, seed).where("copies > 0 or size = 0").select(F.col("file").alias("_f"), F.col("row").alias("_r"), F.greatest("copies", F.lit(1)).cast("int").alias("_n"))
-    whole = docs.select(place[0].alias("_f"), place[1].alias("_r"), F.struct(*docs.columns).alias("_doc"))
+    whole = docs.select(at[0].alias("_f"), at[1].alias("_r"), F.struct(*docs.columns).alias("_doc"))
     return whole.join(taken, ["_f", "_r"]).select(F.explode(F.array_repeat("_doc", F.col("_n"))).alias("_doc")).select("_doc.*")
 
-
-def _from_files(docs: DataFrame) -> bool:
-    try:
-        docs.select("_metadata.row_index", "_metadata.file_path").schema  # noqa: B018
-    except AnalysisException:
-        return False
-    return True

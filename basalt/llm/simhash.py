@@ -10,7 +10,8 @@ classes is refined by pigeonhole on another three-way split of all bits, as ofte
 give a spanning forest of their links.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; rows with equal ids each
-get a row; a null id gets a fingerprint, and a component if a row that it links to has an id; an empty table gives an empty result.
+get a row; a null id gets a fingerprint, and a component if a row that it links to has an id; an empty table gives an empty result; other
+columns, whatever they are called, are kept by keep_one().
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.components import connected_components
-from basalt.llm.store import staged
+from basalt.llm.store import in_files, place, staged
 from basalt.llm.textops import chunks, mix
 
 SEED, SHINGLE, TAU = 42, 3, 2
@@ -53,16 +54,18 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """The other columns of docs, and fp: the text's fingerprint as a signed long."""
+    others = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(len(others))):
                 got = np.array([fingerprint(c.text(i)) for i in range(c.last - c.first)], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(c.first, c.last - c.first), pa.array(got.view(np.int64))], names=["id", "fp"])
+                rest = [batch.column(j).slice(c.first, c.last - c.first) for j in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(got.view(np.int64))], names=[*others, "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long")
+    return docs.select(*others, text_col).mapInArrow(run, docs.select(*others, F.lit(0).cast("long").alias("fp")).schema)
 
 
 def correlated_partitions(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -139,9 +142,9 @@ def _splits(level: int) -> list[np.uint64]:
     return [_mask(order[j::3]) for j in range(3)]
 
 
-def group_links(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
+def group_links(fp: np.ndarray, bounds: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within tau bits inside each group bounds[i]:bounds[i + 1]."""
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     sizes = np.diff(bounds)
     small = np.repeat(sizes <= 8, sizes)
     end = np.repeat(bounds[1:], sizes)
@@ -149,10 +152,10 @@ def group_links(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, tau: int =
     for d in range(1, int(min(8, sizes.max(initial=0)))):
         i = at[small & (at + d < end)]
         i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= tau]
-        a.append(rep[i])
-        b.append(rep[i + d])
+        a.append(fp[i])
+        b.append(fp[i + d])
     for g in np.flatnonzero(sizes > 8):
-        f, r = fp[bounds[g] : bounds[g + 1]], rep[bounds[g] : bounds[g + 1]]
+        f = fp[bounds[g] : bounds[g + 1]]
         rest, todo = np.arange(len(f)), []
         while len(rest):
             if not todo:
@@ -161,13 +164,13 @@ def group_links(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, tau: int =
             near = np.bitwise_count(f[rest] ^ f[i]) <= tau
             found, rest = rest[near], rest[~near]
             todo.extend(found)
-            a.append(np.full(len(found), r[i]))
-            b.append(r[found])
+            a.append(np.full(len(found), f[i]))
+            b.append(f[found])
     return np.concatenate(a), np.concatenate(b)
 
 
 def links(classes: DataFrame, tau: int = TAU) -> DataFrame:
-    """(a, b): representatives of classes (fp, rep) whose fingerprints differ in at most tau bits; enough links that every pair is connected."""
+    """(a, b): pairs of the distinct fingerprints fp that differ in at most tau bits; enough of them that every such pair is connected."""
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     masks = [_mask([b for b in bits if b not in off]) for bits, t in plan(sample, n, tau) for off in combinations(bits, t)]
@@ -182,8 +185,8 @@ def links(classes: DataFrame, tau: int = TAU) -> DataFrame:
                     if refine:
                         key = mix(key ^ part.column("key").to_numpy().view(np.uint64)[:, None])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp.view(np.int64), len(masks))), pa.array(np.repeat(part.column("rep").to_numpy(), len(masks)))],
-                        names=["key", "fp", "rep"],
+                        [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(fp.view(np.int64), len(masks)))],
+                        names=["key", "fp"],
                     )
 
         return run
@@ -192,7 +195,7 @@ def links(classes: DataFrame, tau: int = TAU) -> DataFrame:
         counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         return staged(keyed.join(counts, "key"), "candidates")
 
-    kind = "key long, fp long, rep long"
+    kind = "key long, fp long"
     found = shared(classes.mapInArrow(emit(masks, False), kind))
     ready, level = found.where(F.col("n") <= GROUP), 0
     while level < 12 and (found.agg(F.max("n")).first()[0] or 0) > GROUP:
@@ -205,20 +208,35 @@ def links(classes: DataFrame, tau: int = TAU) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.column(0).slice(at, 256)
                 sizes = np.diff(rows.offsets.to_numpy())
-                flat = rows.flatten()
-                fp, rep = flat.field("fp").to_numpy().view(np.uint64), flat.field("rep").to_numpy()
-                a, b = group_links(fp, rep, np.concatenate([[0], np.cumsum(sizes)]), tau)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                a, b = group_links(rows.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(sizes)]), tau)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    groups = ready.groupBy("key").agg(F.collect_list(F.struct("fp", "rep")).alias("members")).select("members")  # at most GROUP members
+    groups = ready.groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")  # at most GROUP members
     return groups.mapInArrow(compare, "a long, b long")
 
 
+def groups(classes: DataFrame, tau: int = TAU) -> DataFrame:
+    """classes (fp, ...) with root, the smallest fingerprint reachable from fp over links."""
+    nodes = connected_components(links(classes.select("fp"), tau))
+    return classes.join(nodes, classes.fp == nodes.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) for each row of docs; component_id is the smallest id reachable over links."""
-    prints = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("rep"))
-    with_id = staged(classes.where("rep is not null"), "classes")
-    nodes = connected_components(links(with_id, tau))
-    roots = with_id.join(nodes, with_id.rep == nodes.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(roots, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints = staged(fingerprints(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))), "fingerprints")
+    grouped = groups(staged(prints.groupBy("fp").agg(F.min("id").alias("id")), "classes"), tau)
+    least = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = grouped.join(least, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest id stays (of rows with equal ids, one)."""
+    docs, at = in_files(docs), place()
+    slim = docs.select(*at, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = staged(fingerprints(slim), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")).alias("first")
+    best = groups(staged(prints.groupBy("fp").agg(first), "classes"), tau).groupBy("root").agg(F.min("first").alias("first"))
+    chosen = best.select(F.col("first.file").alias("_f"), F.col("first.row").alias("_r"))
+    whole = docs.select(at[0].alias("_f"), at[1].alias("_r"), F.struct(*docs.columns).alias("_doc"))
+    return whole.join(chosen, ["_f", "_r"], "left_semi").select("_doc.*")

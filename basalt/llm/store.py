@@ -8,7 +8,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -46,6 +48,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_files(docs: DataFrame) -> DataFrame:
+    """docs itself where its rows have places in files, else a written copy."""
+    try:
+        docs.select("_metadata.row_index", "_metadata.file_path").schema  # noqa: B018
+    except AnalysisException:
+        return staged(docs, "rows")
+    return staged(docs, "rows") if "_metadata" in docs.columns else docs
+
+
+def place() -> list[Column]:
+    """What tells a row of in_files() from all others, even from its copies."""
+    return [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
