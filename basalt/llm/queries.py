@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import mixing, packing, quality, secrets, simhash, toxicity
+from basalt.llm import mixing, packing, quality, secrets, simhash, toxicity, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return wordpieces.count_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.findings(_table(spark, sf_dir, "documents").select("doc_id", "text"), secrets.train(spark))
     return found.select("doc_id", "word_at", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "probability", "is_secret")
@@ -52,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_source_mixing": op7_source_mixing,
+        "op8_token_counts": op8_token_counts,
         "op9_secret_scans": op9_secret_scans,
     }
 
