@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import mixing, packing, quality, secrets, simhash, toxicity, wordpieces
+from basalt.llm import mixing, packing, quality, secrets, simhash, toxicity, winnowing, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "word_at", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "probability", "is_secret")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_likeness(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_source_mixing": op7_source_mixing,
         "op8_token_counts": op8_token_counts,
         "op9_secret_scans": op9_secret_scans,
+        "op10_document_fingerprints": op10_document_fingerprints,
     }
 
 
