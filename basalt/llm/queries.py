@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import mixing, packing, quality, secrets, simhash, toxicity, warc, winnowing, wordpieces
+from basalt.llm import mixing, packing, quality, secrets, simhash, substrings, toxicity, warc, winnowing, wordpieces
 from basalt.llm.store import new_dir
 
 
@@ -28,6 +28,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_warc": op4_warc,
         "op5_toxicity": op5_toxicity,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
