@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+ARROW_ROWS, _ARROW = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each application, so that they can import it wherever they run."""
+    """Send this package to the executors once for each application, so that they can import it wherever they run.
+
+    Where the session leaves the rows of an Arrow batch at Spark's default, they are lowered: texts are long, and a batch is held whole."""
+    if spark.conf.get(_ARROW) == "10000":
+        spark.conf.set(_ARROW, ARROW_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
