@@ -9,8 +9,8 @@ class Rows:
     """Sparse rows: row i has columns[bounds[i]:bounds[i + 1]] with values."""
 
     def __init__(self, columns: np.ndarray, values: np.ndarray, bounds: np.ndarray, width: int):
-        self.columns, self.values, self.bounds, self.width = columns, values, bounds, width
-        self.of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.columns, self.values, self.bounds, self.width = columns.astype(np.int32), values.astype(np.float32), bounds, width
+        self.of = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, w[self.columns] * self.values, len(self.bounds) - 1)
@@ -18,20 +18,14 @@ class Rows:
     def back(self, g: np.ndarray) -> np.ndarray:
         return np.bincount(self.columns, g[self.of] * self.values, self.width)
 
-    def take(self, rows: np.ndarray) -> Rows:
-        size = np.diff(self.bounds)[rows]
-        total = np.cumsum(size)
-        at = np.arange(total[-1] if len(total) else 0) + np.repeat(self.bounds[rows] - (total - size), size)
-        return Rows(self.columns[at], self.values[at], np.concatenate([[0], total]).astype(np.int64), self.width)
-
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: Rows, y: np.ndarray, l2: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient steps; both classes weigh the same."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+def fit_logistic(x: Rows, y: np.ndarray, use: np.ndarray, l2: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and intercept by accelerated gradient steps over the rows in use; both classes weigh the same."""
+    weight = np.where(y > 0, 0.5 / max(1, (use & (y > 0)).sum()), 0.5 / max(1, (use & (y <= 0)).sum())) * use
     norm = np.bincount(x.of, x.values**2, len(y))
     step = 1 / (0.25 * (norm.max(initial=0) + 1) + l2)
     w = look = np.zeros(x.width)

@@ -12,7 +12,9 @@ result; more than MAX_SOURCES sources raise an error, because each needs a weigh
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,13 +102,17 @@ def _mix(rows: DataFrame, weights: tuple[float, ...], cap: int, seed: int) -> Da
     sources = spark.createDataFrame(plan, "s int, source string, source_size long, target double, whole int, budget long")
     named = sized.join(F.broadcast(sources), sized.source.eqNullSafe(sources.source)).drop("source")  # at most MAX_SOURCES rows
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths, counts = pdf["size"].astype(int).tolist(), pdf["n"].astype(int).tolist()
-        return pd.DataFrame({"s": pdf["s"], "size": pdf["size"], "extra": fit(lengths, counts, int(pdf["budget"].iloc[0]))})
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, budget, lengths in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                lengths.sort(key=lambda x: x["size"])
+                extra = fit([x["size"] for x in lengths], [x["n"] for x in lengths], budget)
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(extra), pa.int32()), pa.array([x["size"] for x in lengths], pa.int64()), pa.array(extra, pa.int64())], names=["s", "size", "extra"])
 
-    # one row for each exact length of a source, whatever the number of documents
+    # one entry for each exact length of a source, whatever the number of documents
     histogram = named.where("size > 0 and budget > 0").groupBy("s", "size", "budget").agg(F.count("*").alias("n"))
-    chosen = histogram.groupBy("s").applyInPandas(choose, "s int, size long, extra long").where("extra > 0")
+    lists = histogram.groupBy("s", "budget").agg(F.collect_list(F.struct("size", "n")).alias("lengths"))
+    chosen = lists.mapInArrow(choose, "s int, size long, extra long").where("extra > 0")
 
     # rank within (source, length), dealt over hash ranges so that a hot pair of them is not one group
     salted = named.withColumn("salt", F.shiftrightunsigned("h", 64 - _SALT_BITS))

@@ -27,7 +27,8 @@ from basalt.llm.store import staged
 from basalt.llm.textops import Chunk, chunks, gather
 
 CAPACITY, END = 2048, 0
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 150_000
+_CHUNK = 1 << 19
 _SHIFT = 50
 # Latin letters that NFC leaves alone and whose lower case is one character; then ASCII punctuation without the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ſ]*)([!-&(-/:-@\\[-`{-~]*)")
@@ -107,7 +108,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
         tok, task = tokenizer(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for c in chunks(batch.column(1)):
+            for c in chunks(batch.column(1), _CHUNK):
                 ids, bounds = token_ids(c, tok)
                 size = np.diff(bounds)
                 count = -(-size // capacity)

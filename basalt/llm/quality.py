@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,7 +153,7 @@ def train_rows(rows: Rows, y: np.ndarray) -> QualityModel:
     if len(y) < 10 or len(np.unique(y)) < 2:
         return QualityModel(None)
     held = np.arange(len(y)) % 5 == 4
-    w, b = fit_logistic(rows.take(np.flatnonzero(~held)), y[~held], l2=1e-4, rounds=100)
+    w, b = fit_logistic(rows, y, ~held, l2=1e-4, rounds=100)
     z = rows.dot(w) + b
     fold = held if len(np.unique(y[held])) == 2 else np.ones(len(y), bool)
     scale, shift = calibrate(z[fold], y[fold])
@@ -194,8 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def to_rows(table: pa.Table, width: int) -> Rows:
     lists, values = table.column("columns").combine_chunks(), table.column("values").combine_chunks()
-    sizes = np.array([len(x) for x in lists.to_numpy(zero_copy_only=False)], np.int64)
-    return Rows(lists.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float), np.concatenate([[0], np.cumsum(sizes)]), width)
+    sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    return Rows(lists.flatten().to_numpy(), values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]), width)
 
 
 def verdicts(c: Chunk, model: QualityModel, threshold: float) -> dict[str, np.ndarray]:
