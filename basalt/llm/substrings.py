@@ -206,17 +206,18 @@ def _without(dealt: DataFrame, repeated: DataFrame) -> DataFrame:
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(c.last - c.first + 1)).astype(np.int32)), pairs)
                 part = batch.slice(c.first, c.last - c.first)
                 words = np.diff(c.word_offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), pa.array(words), pa.array(words - per), pa.array(texts, pa.string()), spans], names=["id", "null_id", "n_words", "n_removed", "kept_text", "removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words), pa.array(words - per), pa.array(texts, pa.string()), spans], names=["id", "part", "n_words", "n_removed", "kept_text", "removed"])
 
     lists = repeated.groupBy("id", "part").agg(F.collect_set("at").alias("places"))
-    joined = dealt.join(lists, ["id", "part"], "left").select("id", "part", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"), "null_id")
-    return joined.mapInArrow(run, "id long, null_id boolean, n_words long, n_removed long, kept_text string, removed array<array<long>>")
+    joined = dealt.join(lists, ["id", "part"], "left").select("id", "part", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
+    return joined.mapInArrow(run, "id long, part int, n_words long, n_removed long, kept_text string, removed array<array<long>>")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """id, n_words, n_removed, kept_text, removed for each row of docs. The documents are indexed in batches of ascending ids."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(id_col).isNull().alias("null_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # keys are never null, so that both joins below read the texts in one partitioning; a null id is the smallest id, with negative parts
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.when(F.col(id_col).isNull(), -1).otherwise(0).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     facts = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
     rows = _with_parts(rows)
     index = FingerprintIndex(spark, max(8, min(20_000, (facts["chars"] or 0) // 25_000_000)))
@@ -226,7 +227,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         got = index.add(batch if high is None else batch.where(F.col("id") <= high))
         candidates = got if candidates is None else candidates.union(got)
     index.drop()
-    dealt = rows.repartition("id")  # read by both joins below
+    dealt = rows.repartition("id", "part")
     found = _windows(dealt, candidates)
     # rows that are known to be repeats need no comparison; they are dealt evenly, by their own place
     key = F.coalesce("hw", F.xxhash64("id", "at"))
@@ -234,15 +235,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     later = found.select(key.alias("key"), "chk", F.col("hw").isNull().alias("known"), "id", "part", "at").withColumn("first", first)
     later = later.where(F.col("known") | (F.col("first") != F.struct("id", "part", "at")))
     out = _without(dealt, later.select("id", "part", "at"))
-    return out.select(F.when(~F.col("null_id"), F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed")
+    return out.select(F.when(F.col("part") >= 0, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed")
 
 
 def _with_parts(rows: DataFrame) -> DataFrame:
-    """rows with part: 0, or the place of the text among the texts of a repeated id."""
-    texts = rows.select("id", F.xxhash64("text").alias("th"))
-    many = staged(texts.groupBy("id").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("id"), "repeated-ids")
+    """rows, with part counted up (or down, if negative) among the different texts of a repeated id."""
+    texts = rows.select("id", "part", F.xxhash64("text").alias("th"))
+    many = staged(texts.groupBy("id", "part").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("id", "part"), "repeated-ids")
     if many.isEmpty():
-        return rows.withColumn("part", F.lit(0))
-    parts = texts.join(many, "id", "left_semi").distinct().withColumn("part", F.row_number().over(Window.partitionBy("id").orderBy("th")))
-    keyed = rows.withColumn("th", F.xxhash64("text"))
-    return keyed.join(parts, ["id", "th"], "left").withColumn("part", F.coalesce("part", F.lit(0))).drop("th")
+        return rows
+    place = F.row_number().over(Window.partitionBy("id", "part").orderBy("th"))
+    parts = texts.join(many, ["id", "part"], "left_semi").distinct().withColumn("place", place)
+    keyed = rows.withColumn("th", F.xxhash64("text")).join(parts, ["id", "part", "th"], "left")
+    moved = F.when(F.col("part") < 0, F.col("part") - F.coalesce("place", F.lit(0))).otherwise(F.coalesce("place", F.lit(0)))
+    return keyed.select("id", moved.alias("part"), "text")
