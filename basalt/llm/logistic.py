@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
 class Rows:
-    """Sparse rows: row i has columns[bounds[i]:bounds[i + 1]] with values."""
+    """Sparse rows: row i has columns[bounds[i]:bounds[i + 1]] with values. Sums run over blocks of entries, so that what they hold at once stays small."""
+
+    BLOCK = 300_000
 
     def __init__(self, columns: np.ndarray, values: np.ndarray, bounds: np.ndarray, width: int):
         self.columns, self.values, self.bounds, self.width = columns.astype(np.int32), values.astype(np.float32), bounds, width
-        self.of = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+
+    @property
+    def of(self) -> np.ndarray:
+        """The row of each entry."""
+        return np.repeat(np.arange(len(self.bounds) - 1, dtype=np.int32), np.diff(self.bounds))
+
+    def _blocks(self) -> Iterator[tuple[int, int, slice, np.ndarray]]:
+        """(first row, row after the last, their entries, each entry's row counted from the first)."""
+        first, n = 0, len(self.bounds) - 1
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(self.bounds, self.bounds[first] + self.BLOCK, "right")) - 1)
+            yield first, last, slice(self.bounds[first], self.bounds[last]), np.repeat(np.arange(last - first), np.diff(self.bounds[first : last + 1]))
+            first = last
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, w[self.columns] * self.values, len(self.bounds) - 1)
+        out = np.zeros(len(self.bounds) - 1)
+        for first, last, at, of in self._blocks():
+            out[first:last] = np.bincount(of, w[self.columns[at]] * self.values[at], last - first)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, g[self.of] * self.values, self.width)
+        out = np.zeros(self.width)
+        for first, last, at, of in self._blocks():
+            out += np.bincount(self.columns[at], g[first:last][of] * self.values[at], self.width)
+        return out
+
+    def squares(self) -> np.ndarray:
+        """Sum of squared values of each row."""
+        out = np.zeros(len(self.bounds) - 1)
+        for first, last, at, of in self._blocks():
+            out[first:last] = np.bincount(of, self.values[at].astype(float) ** 2, last - first)
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -26,7 +55,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def fit_logistic(x: Rows, y: np.ndarray, use: np.ndarray, l2: float = 1e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps over the rows in use; both classes weigh the same."""
     weight = np.where(y > 0, 0.5 / max(1, (use & (y > 0)).sum()), 0.5 / max(1, (use & (y <= 0)).sum())) * use
-    norm = np.bincount(x.of, x.values**2, len(y))
+    norm = x.squares()
     step = 1 / (0.25 * (norm.max(initial=0) + 1) + l2)
     w = look = np.zeros(x.width)
     b = look_b = 0.0

@@ -11,6 +11,7 @@ other names pass through untouched, whatever they are called.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -190,7 +191,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     got = chosen.mapInArrow(extract, "id long, y int, columns array<int>, values array<float>").toArrow().sort_by("id")
     if not got.num_rows:
         return QualityModel(None)
-    return train_rows(to_rows(got, len(FAMILIES) << BITS), got.column("y").to_numpy().astype(float))
+    rows, y = to_rows(got, len(FAMILIES) << BITS), got.column("y").to_numpy().astype(float)
+    del got
+    model = train_rows(rows, y)
+    del rows
+    give_back()
+    return model
+
+
+def give_back() -> None:
+    """Return the memory of a training run to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def to_rows(table: pa.Table, width: int) -> Rows:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.logistic import Rows, sigmoid
-from basalt.llm.quality import sample_labelled, to_rows
+from basalt.llm.quality import give_back, sample_labelled, to_rows
 from basalt.llm.textops import Chunk, chunks, mix
 
 SAMPLE, BITS, GRADES = 12000, 18, 3
@@ -78,15 +78,15 @@ class ToxicityModel:
 
 def indicator_buckets(x: Rows, toxic: np.ndarray) -> np.ndarray:
     """Which buckets stand much more often in toxic rows than in clean ones."""
-    pos = np.bincount(x.columns, toxic[x.of] > 0, x.width)
-    neg = np.bincount(x.columns, toxic[x.of] <= 0, x.width)
+    once = Rows(x.columns, np.ones(len(x.columns)), x.bounds, x.width)
+    pos, neg = once.back(toxic > 0), once.back(toxic <= 0)
     n1, n0 = (toxic > 0).sum(), (toxic <= 0).sum()
     return (np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1)) > INDICATOR) & (pos >= 3)
 
 
 def grades(x: Rows, toxic: np.ndarray) -> np.ndarray:
     """Training grades of the labelled rows."""
-    marks = np.bincount(x.of, indicator_buckets(x, toxic)[x.columns], len(toxic))
+    marks = Rows(x.columns, np.ones(len(x.columns)), x.bounds, x.width).dot(indicator_buckets(x, toxic).astype(float))
     return np.where(toxic > 0, 1 + (marks > 2) + (marks > 6), 0)
 
 
@@ -97,7 +97,7 @@ def fit_ordinal(x: Rows, grade: np.ndarray, l1: float = 3e-4, rounds: int = 250)
         return ToxicityModel(None, np.zeros(GRADES))
     weight = np.where(grade > 0, 0.5 / (grade > 0).sum(), 0.5 / (grade == 0).sum())
     above = grade[:, None] >= np.arange(1, GRADES + 1)[None, :]
-    norm = np.bincount(x.of, x.values**2, len(grade))
+    norm = x.squares()
     step = 4.0 / ((norm * weight).sum() * 1.0 + 1)
     w, theta = np.zeros(x.width), np.linspace(0.5, 1.5, GRADES)
     look, look_t = w, theta
@@ -130,7 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if not got.num_rows:
         return ToxicityModel(None, np.zeros(GRADES))
     rows, toxic = to_rows(got, 1 << BITS), got.column("y").to_numpy()
-    return fit_ordinal(rows, grades(rows, toxic))
+    del got
+    model = fit_ordinal(rows, grades(rows, toxic))
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
