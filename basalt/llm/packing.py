@@ -28,9 +28,10 @@ from basalt.llm.textops import Chunk, chunks, gather
 
 CAPACITY, END = 2048, 0
 _CACHE_WORDS = 150_000
-_CHUNK = 1 << 19
+_CHUNK = 1 << 20
 _SHIFT = 50
 # Latin letters that NFC leaves alone and whose lower case is one character; then ASCII punctuation without the apostrophe.
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ſ]*)([!-&(-/:-@\\[-`{-~]*)")
 
 
@@ -41,6 +42,26 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Generations:
+    """A bounded cache: what isn't asked for while _CACHE_WORDS others are is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value):
+        if len(self.young) >= _CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+        return value
+
+
 class WordTokenizer:
     """Token ids of single words. The tokenizer's pattern and normaliser never cross ASCII white space, so a text's ids are its words' ids."""
 
@@ -50,30 +71,31 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = str.maketrans({chr(b): x for b, x in _byte_letters().items()})
-        self.cache: dict[bytes, list[int]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.words = Generations()
+        self.parts = Generations()
 
     def _part(self, s: str) -> list[int]:
         got = self.parts.get(s)
         if got is None:
-            if len(self.parts) > _CACHE_WORDS:
-                self.parts.clear()
             raw = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[s] = [t.id for t in self.model.tokenize(raw)]
+            got = self.parts.put(s, [t.id for t in self.model.tokenize(raw)])
         return got
 
     def ids(self, word: bytes) -> list[int]:
-        got = self.cache.get(word)
+        # one run of letters, then one of punctuation, is what the pattern would split
+        core = word.rstrip(_MARKS)
+        if core.isalpha():  # ASCII
+            got = self._part(core.lower().decode())
+            return got if len(core) == len(word) else got + self._part(word[len(core) :].decode())
+        got = self.words.get(word)
         if got is None:
-            if len(self.cache) > _CACHE_WORDS:
-                self.cache.clear()
             text = word.decode("utf-8", "replace")
             if m := _PLAIN.fullmatch(text):
-                # one run of letters, then one of punctuation: what the pattern would split
-                got = (self._part(m[1].lower()) if m[1] else []) + (self._part(m[2]) if m[2] else [])
+                letters, marks = m.groups()
+                got = (self._part(letters.lower()) if letters else []) + (self._part(marks) if marks else [])
             else:
                 got = self.whole.encode(text, add_special_tokens=False).ids
-            self.cache[word] = got
+            self.words.put(word, got)
         return got
 
 
