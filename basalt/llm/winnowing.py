@@ -24,6 +24,7 @@ from basalt.llm.store import staged
 K, WINDOW, PIECE = 3, 8, 24
 CELLS = 1024
 _LOW = (1 << 24) - 1
+_NO_ID = -(1 << 63)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -55,27 +56,31 @@ def fingerprint(kept: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
+def hashes(kept: Column) -> Column:
+    """The distinct hashes of entries, positions aside."""
+    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, 24)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the hashes of two entry arrays, positions aside."""
-    plain = lambda kept: F.transform(kept, lambda x: F.shiftright(x, 24))
-    sizes = bound(F.struct(plain(a).alias("a"), plain(b).alias("b")), lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("both"), F.size(F.array_union(p["a"], p["b"])).alias("any")))
+    """Jaccard similarity of two arrays of hashes."""
+    sizes = bound(F.struct(a.alias("a"), b.alias("b")), lambda p: F.struct(F.size(F.array_intersect(p["a"], p["b"])).alias("both"), F.size(F.array_union(p["a"], p["b"])).alias("any")))
     return bound(sizes, lambda s: F.when(s["any"] == 0, F.lit(1.0)).otherwise(s["both"] / s["any"]))
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """(id, h, next_id, next_h) of distinct documents (id, h) in their order.
+    """(id, h, next_id, next_h) of distinct documents (id, h), neither null, in their order.
 
     Ids are dealt into at most CELLS ranges by approximate quantiles; only the ranges' first keys, CELLS at most, come to the driver."""
     spark = keys.sparkSession
     cuts = keys.agg(F.percentile_approx("id", [i / CELLS for i in range(1, CELLS)], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     cell = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    celled = keys.withColumn("cell", F.when(F.col("id").isNull(), 0).otherwise(cell))
+    celled = keys.withColumn("cell", cell)
     key = F.struct("id", "h")
     firsts = [(r["cell"], r["k"]["id"], r["k"]["h"]) for r in celled.groupBy("cell").agg(F.min(key).alias("k")).orderBy("cell").collect()]
     after = [(c, *firsts[(i + 1) % len(firsts)][1:]) for i, (c, *_) in enumerate(firsts)]
     follow = spark.createDataFrame(after, "cell int, after_id long, after_h long")
-    led = celled.withColumn("n", F.lead(key).over(Window.partitionBy("cell").orderBy(F.asc_nulls_first("id"), "h")))
+    led = celled.withColumn("n", F.lead(key).over(Window.partitionBy("cell").orderBy("id", "h")))
     joined = led.join(F.broadcast(follow), "cell")  # at most CELLS rows
     inside = F.col("n").isNotNull()
     return joined.select("id", "h", F.when(inside, F.col("n.id")).otherwise(F.col("after_id")).alias("next_id"), F.when(inside, F.col("n.h")).otherwise(F.col("after_h")).alias("next_h"))
@@ -84,28 +89,29 @@ def next_documents(keys: DataFrame) -> DataFrame:
 def edited_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # keys are never null, so that joins on them keep the partitioning; a null id is the smallest id, and the lowest bit of h says so
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    h = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(F.col(id_col).isNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
+    rows = docs.select(own.alias("id"), h.alias("h"), text.alias("text"))
     counted = staged(rows.select("id", "h", F.length("text").alias("n")).groupBy("id", "h").agg(F.max("n").alias("n"), F.count("*").alias("same")), "keys")
     order = next_documents(counted.select("id", "h"))
-    chain = staged(order.join(counted, order.id.eqNullSafe(counted.id) & (order.h == counted.h)).select(order.id, order.h, "next_id", "next_h", F.floor(F.col("n") / 2).cast("int").alias("half")), "order")
+    chain = staged(order.join(counted, ["id", "h"]).select("id", "h", "next_id", "next_h", F.floor(F.col("n") / 2).cast("int").alias("half")), "order")
 
     # both uses below read one exchange of the texts
     dealt = rows.repartition("id", "h")
-    other = dealt.select(F.col("id").alias("o_id"), F.col("h").alias("o_h"), F.col("text").alias("o_text"))
-    sent = other.join(chain, F.col("o_id").eqNullSafe(F.col("next_id")) & (F.col("o_h") == F.col("next_h"))).select(
-        F.col("id").alias("t_id"), F.col("h").alias("t_h"), "half", F.expr("left(o_text, half)").alias("head"), entries(F.col("o_text")).alias("next_kept")
-    )
+    other = dealt.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("o_text"))
+    sent = other.join(chain, ["next_id", "next_h"]).select("id", "h", "half", F.expr("left(o_text, half)").alias("head"), hashes(entries(F.col("o_text"))).alias("next_hashes"))
     if (counted.agg(F.max("same")).first()[0] or 1) > 1:
-        sent = sent.dropDuplicates(["t_id", "t_h"])
-    both = dealt.join(sent, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("h") == F.col("t_h")))
-    made = both.select("id", "text", "next_kept", F.expr("concat(left(text, length(text) - half), head)").alias("edited"))
-    kept = made.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_kept", entries(F.col("text")).alias("kept"), entries(F.col("edited")).alias("edited_kept"))
+        sent = sent.dropDuplicates(["id", "h"])
+    both = dealt.join(sent, ["id", "h"])
+    made = both.select("id", "h", "text", "next_hashes", F.expr("concat(left(text, length(text) - half), head)").alias("edited"))
+    kept = made.select("id", "h", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "next_hashes", entries(F.col("text")).alias("kept"), entries(F.col("edited")).alias("edited_kept"))
     return kept.select(
-        F.col("id").alias(id_col),
+        F.when(F.col("h").bitwiseAND(F.lit(1)) == 0, F.col("id")).alias(id_col),
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("kept")).alias("fingerprint"),
         fingerprint(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
-        likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        likeness(hashes(F.col("kept")), hashes(F.col("edited_kept"))).alias("near_edited"),
+        likeness(hashes(F.col("kept")), F.col("next_hashes")).alias("near_next"),
     )
