@@ -1,7 +1,7 @@
 """Substring dedup with a log-structured fingerprint index.
 
 A window of WINDOW words holds WINDOW - GRAM + 1 runs of GRAM words; the run with the smallest hash (of equal ones the rightmost) is its anchor. Equal
-windows have equal anchors, so an index of anchors, about one word in seven, misses none. The index is a list of immutable runs: tables bucketed and
+windows have equal anchors, so an index of anchors, a fifth of the words or fewer in practice, misses none. The index is a list of immutable runs: tables bucketed and
 sorted by hash, one row for each hash of a
 document, marked if the document has it at more places. add() writes a new batch as a run and merge-joins it, without a shuffle, with itself and with every
 older run; rows of either side whose hash is shared are candidates. When a level holds FANOUT runs they are compacted into one.
