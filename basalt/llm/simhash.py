@@ -6,8 +6,8 @@ thresholds whose estimated probes and candidates cost least. Every fingerprint i
 all 64 bits. The sample only chooses the plan; whatever it chooses, the links found are the same.
 
 Equal fingerprints are one class with its smallest id as representative, so copies are never paired. A key shared by more than GROUP
-classes is refined by pigeonhole on another three-way split of all bits, as often as needed, so no group is compared whole; smaller groups
-give a spanning forest of their links.
+classes is refined by pigeonhole on another split of all bits into tau + 1 parts, up to LEVELS times; smaller groups give a spanning forest of
+their links. What is larger even then (with tau = 2 nothing) is compared pair by pair in a join.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; rows with equal ids each
 get a row; a null id gets a fingerprint, and a component if a row that it links to has an id; an empty table gives an empty result; other
@@ -31,7 +31,7 @@ from basalt.llm.store import in_files, place, staged
 from basalt.llm.textops import chunks, mix
 
 SEED, SHINGLE, TAU = 42, 3, 2
-SAMPLE, GROUP = 2048, 1024
+SAMPLE, GROUP, LEVELS = 2048, 1024, 12
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 0x100))
 _BLOCK = 1 << 16
 
@@ -136,10 +136,10 @@ def _keys(fp: np.ndarray, masks: list[np.uint64]) -> np.ndarray:
     return mix((fp[:, None] & np.array(masks, np.uint64)) ^ salts)
 
 
-def _splits(level: int) -> list[np.uint64]:
-    """Three masks that share out all 64 bits, another way at each level."""
+def _splits(level: int, tau: int = TAU) -> list[np.uint64]:
+    """tau + 1 masks that share out all 64 bits, another way at each level."""
     order = np.random.Generator(np.random.PCG64(level)).permutation(64).tolist()
-    return [_mask(order[j::3]) for j in range(3)]
+    return [_mask(order[j :: tau + 1]) for j in range(tau + 1)]
 
 
 def group_links(fp: np.ndarray, bounds: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
@@ -198,9 +198,9 @@ def links(classes: DataFrame, tau: int = TAU) -> DataFrame:
     kind = "key long, fp long"
     found = shared(classes.mapInArrow(emit(masks, False), kind))
     ready, level = found.where(F.col("n") <= GROUP), 0
-    while level < 12 and (found.agg(F.max("n")).first()[0] or 0) > GROUP:
+    while (most := found.agg(F.max("n")).first()[0] or 0) > GROUP and level < LEVELS:
         level += 1
-        found = shared(found.where(F.col("n") > GROUP).mapInArrow(emit(_splits(level), True), kind))
+        found = shared(found.where(F.col("n") > GROUP).mapInArrow(emit(_splits(level, tau), True), kind))
         ready = ready.union(found.where(F.col("n") <= GROUP))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,12 @@ def links(classes: DataFrame, tau: int = TAU) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     groups = ready.groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")  # at most GROUP members
-    return groups.mapInArrow(compare, "a long, b long")
+    out = groups.mapInArrow(compare, "a long, b long")
+    if most > GROUP:
+        rest = found.where(F.col("n") > GROUP)
+        pairs = rest.select("key", F.col("fp").alias("a")).join(rest.select("key", F.col("fp").alias("b")), "key")
+        out = out.union(pairs.where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)).select("a", "b"))
+    return out
 
 
 def groups(classes: DataFrame, tau: int = TAU) -> DataFrame:
