@@ -110,14 +110,14 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def token_ids(c: Chunk, tok: WordTokenizer) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a chunk with END after each text, and where each text's ids begin (one more for the end)."""
-    _, first, inverse = np.unique(c.word_hashes, return_index=True, return_inverse=True)
+    first, kind = c.words
     raw = c.data.tobytes()
     lists = [tok.ids(raw[a:b]) for a, b in zip(c.starts[first].tolist(), c.ends[first].tolist(), strict=True)]
     lists.append([END])
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
     begin = np.cumsum(sizes) - sizes
-    units = np.insert(inverse.ravel(), c.word_offsets[1:], len(lists) - 1)
+    units = np.insert(kind, c.word_offsets[1:], len(lists) - 1)
     ids = flat[gather(begin[units], sizes[units])]
     total = np.concatenate([[0], np.cumsum(sizes[units])])
     return ids, total[c.word_offsets + np.arange(c.last - c.first + 1)]

@@ -12,6 +12,7 @@ other names pass through untouched, whatever they are called.
 from __future__ import annotations
 
 import ctypes
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.logistic import Rows, calibrate, fit_logistic, sigmoid
-from basalt.llm.textops import Chunk, chunks, covered
+from basalt.llm.textops import Chunk, chunks, covered, kinds
 
 SAMPLE = 1500
 BITS = 15
@@ -90,14 +91,10 @@ def base_rules(c: Chunk) -> dict[str, np.ndarray]:
     stop = end - (data[end - 1] == 10) if len(end) else end
     has = np.searchsorted(c.starts, stop) > np.searchsorted(c.starts, begin)
     begin, stop, doc = begin[has], stop[has], doc[has]
-    h = c.spans(begin, stop)
-    order = np.lexsort((np.arange(len(h)), h, doc))
-    same = np.zeros(len(h), bool)
-    if len(h):
-        a, b = order[:-1], order[1:]
-        for i in np.flatnonzero((h[a] == h[b]) & (doc[a] == doc[b])):
-            # hashes only propose; the bytes decide
-            same[b[i]] = data[begin[a[i]] : stop[a[i]]].tobytes() == data[begin[b[i]] : stop[b[i]]].tobytes()
+    kind = kinds(data, begin, stop, c.spans(begin, stop))[1]
+    order = np.lexsort((np.arange(len(kind)), kind, doc))
+    same = np.zeros(len(kind), bool)
+    same[order[1:]] = (kind[order[1:]] == kind[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
     dup = np.bincount(doc[same], minlength=c.last - c.first)
     return {
         "n_words": np.diff(words),
@@ -109,21 +106,25 @@ def base_rules(c: Chunk) -> dict[str, np.ndarray]:
 
 
 def _repeated(c: Chunk, at: np.ndarray) -> np.ndarray:
-    """Which windows occur twice or more in their text. Equal hashes are confirmed word by word."""
+    """Which windows occur twice or more in their text. Hashes only propose; the words decide."""
     k, out = REPEAT_WINDOW, np.zeros(len(at), bool)
     if len(at) < 2:
         return out
-    h, doc = c.window_hashes(at, k), c.word_doc[at]
-    key = h ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    doc, kind = c.word_doc[at], c.words[1]
+    key = c.window_hashes(at, k) ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key, kind="stable")
     a, b = order[:-1], order[1:]
-    hit = np.flatnonzero((key[a] == key[b]) & (doc[a] == doc[b]))
+    hit = np.flatnonzero(key[a] == key[b])
     a, b = a[hit], b[hit]
-    true = np.ones(len(hit), bool)
+    true = doc[a] == doc[b]
     for j in range(k):
-        true &= c.word_hashes[at[a] + j] == c.word_hashes[at[b] + j]
-    out[a[true]] = True
-    out[b[true]] = True
+        true &= kind[at[a] + j] == kind[at[b] + j]
+    if not true.all():  # different windows under one key: count the windows themselves
+        rows = [(d, *kind[i : i + k].tolist()) for d, i in zip(doc.tolist(), at.tolist(), strict=True)]
+        often = Counter(rows)
+        return np.array([often[x] > 1 for x in rows])
+    out[a] = True
+    out[b] = True
     return out
 
 

@@ -11,13 +11,15 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 18
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_WORD_BASE = 0xD6E8FEB86659FD93
+_LANE, _LONG = 8, 64
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(_LANE + 1)], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -43,8 +45,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(_LANE, np.uint8)]), 0, (1,))
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end]: eight bytes after the other, every step mixed; XXH64 over _LONG bytes."""
+    view, length = _lanes(data), ends - starts
+    h = mix((view[starts] & _MASKS[np.minimum(length, _LANE)]) ^ (length.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+    at, more = _LANE, np.flatnonzero(length > _LANE)
+    while len(more) and at < _LONG:
+        lane = view[starts[more] + at] & _MASKS[np.minimum(length[more] - at, _LANE)]
+        h[more] = mix(h[more] * np.uint64(0x9E3779B97F4A7C15) ^ lane)
+        at += _LANE
+        more = more[length[more] > at]
+    for i in more.tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether data[a:a_end] and data[b:b_end] hold the same bytes."""
+    view, length = _lanes(data), a_end - a
+    same = length == b_end - b
+    at, left = 0, np.flatnonzero(same & (a != b))
+    while len(left) and at < _LONG:
+        unlike = (view[a[left] + at] ^ view[b[left] + at]) & _MASKS[np.minimum(length[left] - at, _LANE)]
+        same[left] = unlike == 0
+        at += _LANE
+        left = left[(unlike == 0) & (length[left] > at)]
+    for i in left.tolist():
+        same[i] = data[a[i] + at : a_end[i]].tobytes() == data[b[i] + at : b_end[i]].tobytes()
+    return same
+
+
+def kinds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, kind): spans first[k] all differ, and span i holds the bytes of span first[kind[i]]. Hashes only propose."""
+    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    kind = kind.ravel()
+    of = first[kind]
+    if not same_bytes(data, starts, ends, starts[of], ends[of]).all():
+        seen: dict[bytes, int] = {}
+        kind = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.unique(kind, return_index=True)[1]
+    return first, kind
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of each values[start:end], from one running sum."""
+    """A 64-bit hash of each values[start:end], from one running sum; for values that are hashes themselves, over short spans."""
     n = len(values)
     up, down = powers(base, n + 1)
     total = np.zeros(n + 1, np.uint64)
@@ -89,12 +138,17 @@ class Chunk:
     def word_hashes(self) -> np.ndarray:
         return self.spans(self.starts, self.ends)
 
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first, kind): the chunk's different words by their first places, and which of them each word is, byte by byte."""
+        return kinds(self.data, self.starts, self.ends, self.word_hashes)
+
     @cached_property
     def word_doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.last - self.first), np.diff(self.word_offsets))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return span_hashes(_BYTE_VALUES[self.data], starts, ends, _BASE)
+        return byte_hashes(self.data, starts, ends)
 
     def windows(self, k: int) -> np.ndarray:
         """First words of all runs of k words that stay in one text."""
@@ -102,8 +156,16 @@ class Chunk:
         at = np.arange(len(self.starts))
         return at[at + k <= ends]
 
-    def window_hashes(self, at: np.ndarray, k: int, values: np.ndarray | None = None) -> np.ndarray:
-        return span_hashes(self.word_hashes if values is None else values, at, at + k, _WORD_BASE)
+    def window_hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        return span_hashes(self.word_hashes, at, at + k, _WORD_BASE)
+
+    def spaced(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """(line, begin, end): all words with one space after each, and where each word stands in that line."""
+        length = self.ends - self.starts
+        line = np.append(self.data, np.uint8(32))[gather(self.starts, length + 1)]
+        end = np.cumsum(length + 1) - 1
+        line[end] = 32
+        return line.tobytes(), end - length, end
 
     def per_text(self, mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """How many entries of mask are set in each text; bounds are offsets or word_offsets."""

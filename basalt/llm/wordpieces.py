@@ -100,7 +100,7 @@ def count_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
         match, cache = matcher(vocabulary)
         for batch in batches:
             for c in chunks(batch.column(1)):
-                _, first, inverse = np.unique(c.word_hashes, return_index=True, return_inverse=True)
+                first, kind = c.words
                 raw = c.data.tobytes()
                 each = np.zeros(len(first), np.int64)
                 for i, (a, b) in enumerate(zip(c.starts[first].tolist(), c.ends[first].tolist(), strict=True)):
@@ -113,7 +113,7 @@ def count_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
                         if len(word) <= _CACHE_BYTES:
                             cache[word] = n
                     each[i] = n
-                per_word = each[inverse.ravel()]
+                per_word = each[kind]
                 total = np.concatenate([[0], np.cumsum(per_word)])
                 most = np.zeros(c.last - c.first, np.int64)
                 np.maximum.at(most, c.word_doc, per_word)

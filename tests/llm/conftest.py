@@ -9,6 +9,13 @@ def prose(rng, n, words=300):
     return " ".join("w%d" % rng.randint(0, words) for _ in range(n))
 
 
+@pytest.fixture(scope="session")
+def twins():
+    """Two words of 1,024 bytes that every polynomial hash modulo 2**64 with an odd base takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and very long texts, repeated rows, and columns with clashing names."""

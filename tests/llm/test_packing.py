@@ -53,8 +53,8 @@ def test_segment_tree():
         assert tree.tightest(r) == min((x for x in model if x >= r), default=-1)
 
 
-def test_pieces_and_ids(spark, odd_docs, no_docs, sf):
-    extra = spark.createDataFrame([(30, "It's <|endoftext|> ŒUVRE naïve İstanbul é ﬁ 'tis x<|startoftext|>y 42% a b don't!?"), (31, "Σας ΣΑΣ ς 1/2 ½ ²")], "doc_id long, text string")
+def test_pieces_and_ids(spark, odd_docs, no_docs, sf, twins):
+    extra = spark.createDataFrame([(29, " ".join((*twins, twins[0]))), (30, "It's <|endoftext|> ŒUVRE naïve İstanbul é ﬁ 'tis x<|startoftext|>y 42% a b don't!?"), (31, "Σας ΣΑΣ ς 1/2 ½ ²")], "doc_id long, text string")
     docs = odd_docs.select("doc_id", "text").union(extra).union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     tok, want = Tokenizer.from_file(PATH), Counter()
     for r in docs.collect():

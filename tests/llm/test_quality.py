@@ -19,8 +19,10 @@ def model_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(again)
 
 
-def test_base_counts(spark, odd_docs, sf):
-    extra = spark.createDataFrame([(20, "a b\na b\n a b\n\n\na b\r\nc", None), (21, "x y z p q r s t x y z p q r s t " * 3, None), (22, "# <b> | 5%", None)], "doc_id long, text string, source string")
+def test_base_counts(spark, odd_docs, sf, twins):
+    around = "a b c d e f g".split()
+    unlike = "\n".join(" ".join([*around, w]) for w in twins)
+    extra = spark.createDataFrame([(18, unlike, None), (19, f"{unlike}\n{unlike}", None), (20, "a b\na b\n a b\n\n\na b\r\nc", None), (21, "x y z p q r s t x y z p q r s t " * 3, None), (22, "# <b> | 5%", None)], "doc_id long, text string, source string")
     docs = odd_docs.select("doc_id", "text", "source").union(extra).union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
     got = Counter((r["doc_id"], *(r[k] for k in quality.BASE_COLUMNS), r["base_failed"], r["kept"]) for r in quality.score(docs, quality.QualityModel(None)).collect())
     want = Counter()

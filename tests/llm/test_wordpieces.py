@@ -31,8 +31,9 @@ def test_small_vocabularies():
         wordpieces.LongestMatch({b"a"})
 
 
-def test_against_brute_force(spark, odd_docs, no_docs, sf):
-    docs = odd_docs.select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60))
+def test_against_brute_force(spark, odd_docs, no_docs, sf, twins):
+    unlike = spark.createDataFrame([(40, f"{twins[0]} {twins[1].upper()} {twins[1]}")], "doc_id long, text string")
+    docs = odd_docs.select("doc_id", "text").union(unlike).union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60))
     pieces = set(wordpieces.read_vocabulary(PATH))
     longest = max(map(len, pieces))
     want = Counter()
