@@ -35,9 +35,42 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path with the cluster's own file system, whichever that is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no such folder."""
+    fs, p = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written under another name, then renamed."""
+    fs, p = _file_system(spark, path)
+    draft = p.suffix(".draft-" + uuid.uuid4().hex[:8])
+    stream = fs.create(draft)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    if not fs.rename(draft, p):
+        raise OSError(f"{path} exists already")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -49,12 +82,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def in_files(docs: DataFrame) -> DataFrame:
-    """docs itself where its rows have places in files, else a written copy."""
-    try:
-        docs.select("_metadata.row_index", "_metadata.file_path").schema  # noqa: B018
-    except AnalysisException:
-        return staged(docs, "rows")
-    return staged(docs, "rows") if "_metadata" in docs.columns else docs
+    """docs itself where each row has a place of its own in the files it is read from, else a written copy.
+
+    Only scans of distinct files, perhaps projected and filtered, count: joins, unions and generators repeat their rows' places."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    bare = "_metadata" not in docs.columns and plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    if bare:
+        roots = plan.relation().location().rootPaths()
+        bare = roots.distinct().size() == roots.size()
+    if bare:
+        try:
+            docs.select("_metadata.row_index", "_metadata.file_path").schema  # noqa: B018
+        except AnalysisException:  # of another format than Parquet
+            bare = False
+    return docs if bare else staged(docs, "rows")
 
 
 def place() -> list[Column]:

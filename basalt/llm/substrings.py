@@ -1,37 +1,48 @@
 """Substring dedup with a log-structured fingerprint index.
 
-A window of WINDOW words holds WINDOW - GRAM + 1 runs of GRAM words; the run with the smallest hash (of equal ones the rightmost) is its anchor. Equal
-windows have equal anchors, so an index of anchors, a fifth of the words or fewer in practice, misses none. The index is a list of immutable runs: tables bucketed and
-sorted by hash, one row for each hash of a
-document, marked if the document has it at more places. add() writes a new batch as a run and merge-joins it, without a shuffle, with itself and with every
-older run; rows of either side whose hash is shared are candidates. When a level holds FANOUT runs they are compacted into one.
-
-Candidates are verified on whole windows: each document with candidates hashes all words of the windows under its shared anchors, 64 bits and 24 check bits
-that are independent of the anchors. Of equal windows in one Arrow batch only the first goes on, so a passage that a third of all documents
-hold arrives once for each batch; a window function over what is left tells the first of all. Words covered by a window that is not the first go.
-
-Defined cases: a null text counts as empty; null ids come first in the order; rows of one id with other texts follow by a hash of their text; rows alike in
-id and text are one document, each with the same result; texts shorter than WINDOW words stay whole; an empty table gives an empty result; other columns are
-ignored.
+A window of WINDOW words holds WINDOW - GRAM + 1 runs of GRAM words; the run with the smallest hash (of equal ones the rightmost) is its anchor. Which
+run that is depends on the window's words alone, so equal windows have equal anchors: two windows whose anchors' hashes differ are different, and an
+index of anchor hashes, a fifth of the words or fewer in practice, misses no repeat. The index is a folder that driver and executors share. It holds
+
+  * runs: immutable tables of anchor hashes, bucketed and sorted by hash, one row for each hash of a document, marked if the document has it at more places;
+  * segments: the documents of each batch, bucketed by their key, against which repeats are verified;
+  * manifests: numbered JSON files, each a whole list of runs and segments; the last one counts, so a batch that fails half-way leaves the index as it was.
+
+add() first compacts levels that hold FANOUT runs, each into one run of the next level, then writes the new batch as a segment and a run and merge-joins
+that run, without a shuffle, with itself and with every older run. Rows of either side whose hash is shared are candidates. They are verified before
+add() returns: the documents that have candidates, old and new, form the windows under their shared anchors, and a window is known by the 128-bit BLAKE2b
+digest of its words. A task that meets a digest again after an earlier place knows that window for a repeat and sends it on as part of a span, with no more
+comparison; it remembers SEEN digests or more. So a passage that a third of all documents hold arrives once for each task. A window function over what
+is left tells the first of all. Words covered by a window that is not the first go.
+
+Defined cases: a null text counts as empty; null ids come first in the order (before all but the smallest long); rows of one id with other texts follow by a
+SHA-256 of their text; rows alike in id and text are one document, each with the same result; texts shorter than WINDOW words stay whole; equal windows
+in one document count from the second on; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.store import delete, new_dir, staged
-from basalt.llm.textops import Chunk, chunks, covered, gather, mix, span_hashes
+from basalt.llm.store import delete, listed, new_dir, read_text, staged, write_text
+from basalt.llm.textops import Chunk, chunks, covered, gather, mix
 
 WINDOW, GRAM, FANOUT, BATCHES = 20, 8, 2, 3
-_CHECK_BASE = 0xC2B2AE3D27D4EB4F
+BUCKET_CHARS, MIN_BUCKETS, MAX_BUCKETS = 25_000_000, 8, 50_000
+SEEN = 100_000
+_CHUNK = 1 << 19
 _NO_ID = -(1 << 63)
+_KEYS = ("id", "part")
 
 
 def anchors(c: Chunk, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,76 +87,36 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
                     names=["h", "id", "part", "at", "many"],
                 )
 
-    return rows.select("id", "part", "text").mapInArrow(run, "h long, id long, part int, at int, many boolean")
+    return rows.select("id", "part", "text").mapInArrow(run, "h long, id long, part long, at int, many boolean")
 
 
-class FingerprintIndex:
-    """Runs of anchor hashes below a folder that driver and executors share."""
-
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets = spark, buckets
-        self.levels: list[list[tuple[str, str]]] = [[]]
-
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(name) for level in self.levels for name, _ in level]
-
-    def _write(self, rows: DataFrame) -> tuple[str, str]:
-        name, path = f"run_{uuid.uuid4().hex[:12]}", new_dir(self.spark, "run")
-        dealt = rows.repartition(self.buckets, "h")
-        dealt.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(self.buckets, "h").sortBy("h").saveAsTable(name)
-        return name, path
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        """Add documents (id, part, text) that follow all earlier ones; (id, part, at) of the rows, new or old, whose hash is now shared."""
-        older = self.runs()
-        made = self._write(_anchor_rows(rows))
-        new = self.spark.table(made[0])
-        hashes = new.groupBy("h").agg(F.count("*").alias("n"))
-        found = [new.where("many"), new.join(hashes.where("n > 1").select("h"), "h", "left_semi")]
-        for run in older:
-            found += [new.join(run.select("h"), "h", "left_semi"), run.join(hashes.select("h"), "h", "left_semi")]
-        out = found[0].select("id", "part", "at")
-        for x in found[1:]:
-            out = out.union(x.select("id", "part", "at"))
-        out = staged(out, "candidates")
-        self.levels[0].append(made)
-        self._compact()
-        _release(self.spark)
-        return out
+class _Seen:
+    """The smallest place met of each digest; digests that don't come again while SEEN others do are forgotten."""
 
-    def _compact(self) -> None:
-        """Merge the runs of each full level into one run of the next."""
-        level = 0
-        while len(self.levels[level]) >= FANOUT + 1:
-            full, self.levels[level] = self.levels[level][:FANOUT], self.levels[level][FANOUT:]
-            rows = self.spark.table(full[0][0])
-            for name, _ in full[1:]:
-                rows = rows.union(self.spark.table(name))
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[level + 1].append(self._write(rows))
-            self._drop(full)
-            level += 1
+    def __init__(self) -> None:
+        self.young: dict[bytes, tuple] = {}
+        self.old: dict[bytes, tuple] = {}
 
-    def _drop(self, runs: list[tuple[str, str]]) -> None:
-        for name, path in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            delete(self.spark, path)
+    def repeats(self, digest: bytes, place: tuple) -> bool:
+        """Whether a smaller place was met; else place is now the smallest."""
+        got = self.young.get(digest) or self.old.get(digest)
+        if got is not None and got < place:
+            self.young[digest] = got
+            return True
+        self.young[digest] = place
+        if len(self.young) >= SEEN:
+            self.old, self.young = self.young, {}
+        return False
 
-    def drop(self) -> None:
-        for level in self.levels:
-            self._drop(level)
-        self.levels = [[]]
 
-
-def _windows(dealt: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(hw, chk, id, part, at): windows under shared anchors. hw null: the window is known not to be the first; else it is the batch's first."""
+def _windows(texts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(d1, d2, id, part, at, known): windows under shared anchors by digest; known lists [first, end) of windows that are known to be repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             ids, parts, shared = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            got = []
-            for c in chunks(batch.column(2)):
+            for c in chunks(batch.column(2), _CHUNK):
                 at, where, hashes = anchors(c)
                 # a document lists one place for each shared hash; its other places with that hash count too
                 mine = shared.slice(c.first, c.last - c.first)
@@ -153,40 +124,184 @@ def _windows(dealt: DataFrame, candidates: DataFrame) -> DataFrame:
                 listed = mine.flatten().to_numpy() + np.repeat(c.word_offsets[:-1], sizes)
                 salt = mix(np.arange(c.last - c.first, dtype=np.uint64))
                 keys = mix(hashes ^ salt[c.word_doc])
-                hit = np.isin(keys[where], keys[listed])
-                at = at[hit]
+                at = at[np.isin(keys[where], keys[listed])]
                 doc = c.word_doc[at]
-                chk = span_hashes(c.word_hashes, at, at + WINDOW, _CHECK_BASE) >> np.uint64(40)
-                got.append((c.window_hashes(at, WINDOW), chk.astype(np.int64), ids[c.first + doc], parts[c.first + doc], at - c.word_offsets[doc]))
-            hw, chk, i, p, at = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.lexsort((at, p, i, chk, hw))
-            hw, chk, i, p, at = (x[order] for x in (hw, chk, i, p, at))
-            again = np.zeros(len(hw), bool)
-            again[1:] = (hw[1:] == hw[:-1]) & (chk[1:] == chk[:-1])
-            # rows alike in id and text show the same window at the same place; that is the same window
-            same = np.zeros(len(hw), bool)
-            same[1:] = again[1:] & (i[1:] == i[:-1]) & (p[1:] == p[:-1]) & (at[1:] == at[:-1])
-            keep = ~same
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hw.view(np.int64)[keep], mask=again[keep]), pa.array(chk[keep].astype(np.int32)), pa.array(i[keep]), pa.array(p[keep].astype(np.int32)), pa.array(at[keep].astype(np.int32))],
-                names=["hw", "chk", "id", "part", "at"],
-            )
-
-    lists = candidates.groupBy("id", "part").agg(F.collect_set("at").alias("shared"))  # at most a document's own places
-    joined = dealt.join(lists, ["id", "part"]).select("id", "part", "text", "shared")
-    return joined.mapInArrow(run, "hw long, chk int, id long, part int, at int")
-
-
-def _without(dealt: DataFrame, repeated: DataFrame) -> DataFrame:
+                i, p, place = ids[c.first + doc], parts[c.first + doc], at - c.word_offsets[doc]
+                line, begin, end = c.spaced()
+                bounds = zip(begin[at].tolist(), end[at + WINDOW - 1].tolist(), i.tolist(), p.tolist(), place.tolist(), strict=True)
+                again, digests = np.zeros(len(at), bool), []
+                for j, (a, b, *mark) in enumerate(bounds):
+                    digest = hashlib.blake2b(line[a:b], digest_size=16).digest()
+                    if seen.repeats(digest, tuple(mark)):
+                        again[j] = True
+                    else:
+                        digests.append(digest)
+                halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                yield _rows(halves[:, 0], halves[:, 1], i[~again], p[~again], place[~again], None)
+                if again.any():
+                    first, stop = _ranges(doc[again], place[again])
+                    owner = doc[again][first]
+                    pairs = np.stack([place[again][first], place[again][stop - 1] + 1], axis=1)
+                    new = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                    lists = pa.ListArray.from_arrays(pa.array((2 * np.append(new, len(owner))).astype(np.int32)), pa.array(pairs.ravel().astype(np.int32)))
+                    who = c.first + owner[new]
+                    # dealt by their own document: nothing is left to compare
+                    yield _rows(mix(ids[who].view(np.uint64) ^ mix(parts[who].view(np.uint64))).view(np.int64), np.zeros(len(who), np.int64), ids[who], parts[who], None, lists)
+
+    lists = candidates.groupBy(*_KEYS).agg(F.collect_set("at").alias("shared"))  # at most a document's own places
+    joined = texts.join(lists, list(_KEYS)).select("id", "part", "text", "shared")
+    return joined.mapInArrow(run, "d1 long, d2 long, id long, part long, at int, known array<int>")
+
+
+def _ranges(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[first, stop) of the entries whose places follow each other in one document."""
+    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)) + 1
+    return np.append(0, cut), np.append(cut, len(doc))
+
+
+def _rows(d1, d2, i, p, at, known) -> pa.RecordBatch:
+    n = len(d1)
+    at = pa.nulls(n, pa.int32()) if at is None else pa.array(at.astype(np.int32))
+    known = pa.nulls(n, pa.list_(pa.int32())) if known is None else known
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(d1)), pa.array(np.ascontiguousarray(d2)), pa.array(i), pa.array(p), at, known], names=["d1", "d2", "id", "part", "at", "known"])
+
+
+class FingerprintIndex:
+    """An index below path: opened where it exists, else begun with so many buckets.
+
+    Its tables are registered in a database of its own, which close() drops; their files stay until drop()."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = MIN_BUCKETS):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.database = f"basalt_index_{uuid.uuid4().hex[:12]}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.path}/database'")
+        atexit.register(self.close)
+        manifests = sorted(x for x in listed(spark, self.path) if x.startswith("manifest-"))
+        self.version = len(manifests)
+        if manifests:
+            state = json.loads(read_text(spark, f"{self.path}/{manifests[-1]}"))
+            self.version = int(manifests[-1][9:18])
+        else:
+            state = {"buckets": buckets, "levels": [[]], "segments": [], "last": None}
+        self.buckets, self.levels, self.segments, self.last = (state[k] for k in ("buckets", "levels", "segments", "last"))
+        for name in (x for level in self.levels for x in level):
+            self._register(name, "h long, id long, part long, at int, many boolean", ("h",))
+        for name in self.segments:
+            self._register(name, "id long, part long, text string", _KEYS)
+
+    def _register(self, name: str, schema: str, by: tuple[str, ...]) -> None:
+        keys = ", ".join(by)
+        self.spark.sql(f"CREATE TABLE {self.database}.{name} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+
+    def _write(self, rows: DataFrame, kind: str, by: tuple[str, ...]) -> str:
+        name = f"{kind}_{uuid.uuid4().hex[:12]}"
+        dealt = rows.repartition(self.buckets, *by).write.format("parquet").option("compression", "zstd").option("path", f"{self.path}/{name}")
+        dealt.bucketBy(self.buckets, *by).sortBy(*by).saveAsTable(f"{self.database}.{name}")
+        return name
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.database}.{name}")
+
+    def _save(self) -> None:
+        """The index as it is now is the next manifest."""
+        self.version += 1
+        state = {"buckets": self.buckets, "levels": self.levels, "segments": self.segments, "last": self.last}
+        write_text(self.spark, f"{self.path}/manifest-{self.version:09d}", json.dumps(state))
+
+    def add(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        """Add documents (id, part, text), distinct and all after the earlier ones: the name of their segment, and (id, part, known, places) of their repeats.
+
+        A document's places are first words of windows that stand earlier too, in this batch or any before; known lists [first, end) of more of them."""
+        self._compact()
+        older = [x for level in self.levels for x in level]
+        segment = self._write(rows, "segment", _KEYS)
+        key = F.struct("id", "part")
+        ends = self.table(segment).agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+        if ends["low"] and self.last and tuple(self.last) >= tuple(ends["low"]):
+            raise ValueError("a batch must follow all earlier ones in the order of its keys")
+        made = self._write(_anchor_rows(self.table(segment)), "run", ("h",))
+        _release(self.spark)
+        candidates = self._candidates(self.table(made), older)
+        repeats = self._verified(segment, candidates)
+        self.levels[0].append(made)
+        self.segments.append(segment)
+        self.last = list(ends["high"]) if ends["high"] else self.last
+        self._save()
+        _release(self.spark)
+        return segment, repeats
+
+    def _candidates(self, new: DataFrame, older: list[str]) -> list[DataFrame]:
+        """(id, part, at) of the rows whose hash is shared now: of the new run, then of the older ones."""
+        hashes = new.groupBy("h").agg(F.count("*").alias("n"))
+        mine = new.where("many").select(*_KEYS, "at").union(new.join(hashes.where("n > 1").select("h"), "h", "left_semi").select(*_KEYS, "at"))
+        theirs = None
+        for run in map(self.table, older):
+            mine = mine.union(new.join(run.select("h"), "h", "left_semi").select(*_KEYS, "at"))
+            hit = run.join(hashes.select("h"), "h", "left_semi").select(*_KEYS, "at")
+            theirs = hit if theirs is None else theirs.union(hit)
+        return [staged(x, "candidates") for x in (mine, theirs) if x is not None]
+
+    def _verified(self, segment: str, candidates: list[DataFrame]) -> DataFrame:
+        found = _windows(self.table(segment), candidates[0]).withColumn("new", F.lit(True))
+        for name in self.segments if len(candidates) > 1 else []:
+            found = found.union(_windows(self.table(name), candidates[1]).where("known is null").withColumn("new", F.lit(False)))
+        first = F.min(F.struct("id", "part", "at")).over(Window.partitionBy("d1", "d2", F.isnotnull("known")))
+        later = found.withColumn("first", first).where(F.col("new") & (F.col("known").isNotNull() | (F.col("first") != F.struct("id", "part", "at"))))
+        lists = later.groupBy(*_KEYS).agg(F.flatten(F.collect_list("known")).alias("known"), F.collect_list("at").alias("places"))  # at most a document's own windows
+        out = staged(lists, "repeats")
+        for x in candidates:
+            delete(self.spark, x.inputFiles()[0].rpartition("/")[0])
+        return out
+
+    def _compact(self) -> None:
+        """Merge the runs of each full level into one run of the next."""
+        done = []
+        for level in range(len(self.levels) + 1):
+            if level >= len(self.levels) or len(self.levels[level]) < FANOUT:
+                continue
+            full, self.levels[level] = self.levels[level], []
+            rows = self.table(full[0])
+            for name in full[1:]:
+                rows = rows.union(self.table(name))
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(self._write(rows, "run", ("h",)))
+            done += full
+        if done:
+            self._save()
+            self._drop(done)
+            _release(self.spark)
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{name}")
+            delete(self.spark, f"{self.path}/{name}")
+
+    def drop_runs(self) -> None:
+        """Delete all runs; the segments stay. The index can't be added to any more."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = [[]]
+
+    def close(self) -> None:
+        """Take the tables out of the catalog; the files stay."""
+        try:
+            self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+        except Exception:  # noqa: BLE001  the session may be gone by now
+            return
+
+
+def _without(texts: DataFrame, repeats: DataFrame) -> DataFrame:
     """(id, part, n_words, n_removed, kept_text, removed): removed lists [first, end) words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
             for c in chunks(batch.column(2)):
-                mine = lists.slice(c.first, c.last - c.first)
-                sizes = np.diff(mine.offsets.to_numpy())
-                at = np.unique(mine.flatten().to_numpy() + np.repeat(c.word_offsets[:-1], sizes))
+                docs = c.last - c.first
+                known, places = (batch.column(k).slice(c.first, docs) for k in (3, 4))
+                at = places.flatten().to_numpy() + np.repeat(c.word_offsets[:-1], np.diff(places.offsets.to_numpy()))
+                spans = (known.flatten().to_numpy() + np.repeat(c.word_offsets[:-1], np.diff(known.offsets.to_numpy()))).reshape(-1, 2)
+                at = np.unique(np.concatenate([at, gather(spans[:, 0], spans[:, 1] - spans[:, 0])]))
                 gone = covered(len(c.starts), at, WINDOW)
                 keep = ~gone
                 starts, length = c.starts[keep], (c.ends - c.starts)[keep]
@@ -203,49 +318,51 @@ def _without(dealt: DataFrame, repeated: DataFrame) -> DataFrame:
                 doc = c.word_doc[edge]
                 flat = np.stack([edge - c.word_offsets[doc], stop - c.word_offsets[doc]], axis=1).ravel()
                 pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2, dtype=np.int32)), pa.array(flat))
-                spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(c.last - c.first + 1)).astype(np.int32)), pairs)
-                part = batch.slice(c.first, c.last - c.first)
+                removed = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)), pairs)
+                part = batch.slice(c.first, docs)
                 words = np.diff(c.word_offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words), pa.array(words - per), pa.array(texts, pa.string()), spans], names=["id", "part", "n_words", "n_removed", "kept_text", "removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words), pa.array(words - per), pa.array(texts, pa.string()), removed], names=["id", "part", "n_words", "n_removed", "kept_text", "removed"])
 
-    lists = repeated.groupBy("id", "part").agg(F.collect_set("at").alias("places"))
-    joined = dealt.join(lists, ["id", "part"], "left").select("id", "part", "text", F.coalesce("places", F.array().cast("array<int>")).alias("places"))
-    return joined.mapInArrow(run, "id long, part int, n_words long, n_removed long, kept_text string, removed array<array<long>>")
+    none = F.array().cast("array<int>")
+    joined = texts.join(repeats, list(_KEYS), "left").select("id", "part", "text", F.coalesce("known", none).alias("known"), F.coalesce("places", none).alias("places"))
+    return joined.mapInArrow(run, "id long, part long, n_words long, n_removed long, kept_text string, removed array<array<long>>")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """id, n_words, n_removed, kept_text, removed for each row of docs. The documents are indexed in batches of ascending ids."""
+    """id, n_words, n_removed, kept_text, removed for each row of docs. The documents are added to an index in batches of ascending ids."""
     spark = docs.sparkSession
-    # keys are never null, so that both joins below read the texts in one partitioning; a null id is the smallest id, with negative parts
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.when(F.col(id_col).isNull(), -1).otherwise(0).alias("part"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    facts = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
-    rows = _with_parts(rows)
-    index = FingerprintIndex(spark, max(8, min(20_000, (facts["chars"] or 0) // 25_000_000)))
-    cuts, candidates = sorted(set(facts["cuts"] or [])), None
+    rows, copies = _keyed(docs.select(F.col(id_col).cast("long").alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    facts = rows.agg(F.sum(F.length("text")).alias("chars"), F.percentile_approx("id", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()
+    buckets = max(MIN_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_BUCKETS, (facts["chars"] or 0) // BUCKET_CHARS))
+    index = FingerprintIndex(spark, new_dir(spark, "index"), buckets)
+    cuts, out = sorted(set(facts["cuts"] or [])), None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = rows if low is None else rows.where(F.col("id") > low)
-        got = index.add(batch if high is None else batch.where(F.col("id") <= high))
-        candidates = got if candidates is None else candidates.union(got)
-    index.drop()
-    dealt = rows.repartition("id", "part")
-    found = _windows(dealt, candidates)
-    # rows that are known to be repeats need no comparison; they are dealt evenly, by their own place
-    key = F.coalesce("hw", F.xxhash64("id", "at"))
-    first = F.min(F.struct("id", "part", "at")).over(Window.partitionBy("key", "chk", "known"))
-    later = found.select(key.alias("key"), "chk", F.col("hw").isNull().alias("known"), "id", "part", "at").withColumn("first", first)
-    later = later.where(F.col("known") | (F.col("first") != F.struct("id", "part", "at")))
-    out = _without(dealt, later.select("id", "part", "at"))
-    return out.select(F.when(F.col("part") >= 0, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed")
-
-
-def _with_parts(rows: DataFrame) -> DataFrame:
-    """rows, with part counted up (or down, if negative) among the different texts of a repeated id."""
-    texts = rows.select("id", "part", F.xxhash64("text").alias("th"))
-    many = staged(texts.groupBy("id", "part").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("id", "part"), "repeated-ids")
-    if many.isEmpty():
-        return rows
-    place = F.row_number().over(Window.partitionBy("id", "part").orderBy("th"))
-    parts = texts.join(many, ["id", "part"], "left_semi").distinct().withColumn("place", place)
-    keyed = rows.withColumn("th", F.xxhash64("text")).join(parts, ["id", "part", "th"], "left")
-    moved = F.when(F.col("part") < 0, F.col("part") - F.coalesce("place", F.lit(0))).otherwise(F.coalesce("place", F.lit(0)))
-    return keyed.select("id", moved.alias("part"), "text")
+        segment, repeats = index.add(batch if high is None else batch.where(F.col("id") <= high))
+        done = _without(index.table(segment), repeats)
+        out = done if out is None else out.union(done)
+    index.drop_runs()
+    if copies is not None:
+        out = out.join(copies, list(_KEYS), "left").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n", F.lit(1).cast("long"))))).drop("n", "_n")
+    return out.select(F.when(F.col("part").bitwiseAND(F.lit(1)) == 0, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_text", "removed")
+
+
+def _text_key(text: str) -> Column:
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
+
+
+def _keyed(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, part, text), distinct documents with keys that are never null, and (id, part, n) where rows stand for more.
+
+    A null id is the smallest long, with an odd part; part tells the different texts of one id."""
+    part = F.when(F.col("given").isNull(), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    rows = rows.select(F.coalesce("given", F.lit(_NO_ID)).alias("id"), part.alias("part"), "text")
+    prints = rows.select(*_KEYS, _text_key("text").alias("k"))
+    often = staged(prints.groupBy(*_KEYS).agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).where("n > 1"), "repeated-ids")
+    if often.isEmpty():
+        return rows, None
+    unlike = often.where("a <> b").select(*_KEYS, F.lit(True).alias("unlike"))
+    parted = rows.join(unlike, list(_KEYS), "left").select("id", F.when(F.col("unlike"), F.col("part") + 2 * _text_key("text")).otherwise(F.col("part")).alias("part"), "text")
+    once = parted.groupBy(*_KEYS).agg(F.min("text").alias("text"), F.count("*").alias("n"))
+    kept = staged(once, "documents")
+    return kept.select(*_KEYS, "text"), kept.where("n > 1").select(*_KEYS, "n")

@@ -1,7 +1,10 @@
 import random
 from collections import Counter
 
+import pytest
+
 from basalt.llm import substrings
+from basalt.llm.store import new_dir
 
 
 def slow(rows):
@@ -60,14 +63,61 @@ def test_odd_tables(odd_docs):
     assert [list(map(tuple, r["removed"])) for r in rows if r["doc_id"] == 2] == [[(0, 80)]]
 
 
-def test_runs_are_compacted(spark):
-    index = substrings.FingerprintIndex(spark, 4)
+def test_unlike_words_of_one_polynomial_hash(spark, twins):
+    around = ["u%d" % i for i in range(22)]
+    texts = [" ".join([*around[:11], w, *around[11:]]) for w in twins]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(substrings.remove_repeats(docs)) == slow(rows)
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 23}
+
+
+def test_forgotten_digests_and_small_chunks(spark, monkeypatch):
+    rng = random.Random(8)
+    base = ["w%d" % rng.randint(0, 300) for _ in range(400)]
+    rows = [(i, " ".join(base[(a := rng.randint(0, 300)) : a + rng.randint(10, 100)])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow(rows)
+    monkeypatch.setattr(substrings, "SEEN", 7)
+    monkeypatch.setattr(substrings, "_CHUNK", 64)
+    assert result(substrings.remove_repeats(docs, batches=2)) == want
+
+
+def batch(spark, *rows):
+    return spark.createDataFrame(list(rows), "id long, part long, text string")
+
+
+def places(repeats):
+    """{id: first words of windows that are repeats}"""
+    return {r["id"]: sorted({*r["places"], *(x for a, b in zip(r["known"][::2], r["known"][1::2]) for x in range(a, b))}) for r in repeats.collect()}
+
+
+def test_runs_are_compacted_before_they_are_probed(spark):
+    index = substrings.FingerprintIndex(spark, new_dir(spark, "index"), 4)
     text = " ".join("t%d" % i for i in range(40))
-    batch = lambda *rows: spark.createDataFrame(list(rows), "id long, part int, text string")
-    assert index.add(batch((1, 0, text))).count() == 0
-    counts = [index.add(batch((i, 0, text if i % 2 else "other " * 3))).count() for i in range(2, 7)]
-    assert counts[0] == 0 and counts[1] > 0 and counts[2] == 0 and counts[3] > counts[1]
+    assert places(index.add(batch(spark, (1, 0, text)))[1]) == {}
+    got = [places(index.add(batch(spark, (i, 0, text if i % 2 else "other " * 3)))[1]) for i in range(2, 8)]
+    assert got == [{i: list(range(21))} if i % 2 else {} for i in range(2, 8)]
     assert len(index.levels) > 1 and all(len(level) <= substrings.FANOUT for level in index.levels)
-    assert sum(r.count() for r in index.runs()) > 0
-    index.drop()
-    assert index.runs() == []
+    assert len(index.segments) == 7
+    with pytest.raises(ValueError, match="follow"):
+        index.add(batch(spark, (3, 0, text)))
+    index.drop_runs()
+    assert index.levels == [[]]
+
+
+def test_an_index_that_is_opened_again(spark):
+    path = new_dir(spark, "index")
+    text = " ".join("t%d" % i for i in range(30))
+    first = substrings.FingerprintIndex(spark, path, 4)
+    first.add(batch(spark, (1, 0, text), (2, 0, "other " * 25)))
+    first.close()
+    second = substrings.FingerprintIndex(spark, path)
+    assert second.buckets == 4 and second.last == [2, 0]
+    got = places(second.add(batch(spark, (3, 0, "x " + text), (4, 0, "new " * 19), (5, 0, "other " * 20)))[1])
+    assert got == {3: list(range(1, 12)), 5: [0]}
+    third = substrings.FingerprintIndex(spark, path)
+    got = places(third.add(batch(spark, (6, 0, text), (7, 0, "other " * 21)))[1])
+    assert got == {6: list(range(11)), 7: [0, 1]}
+    for index in (second, third):
+        index.close()
