@@ -1,7 +1,9 @@
-import itertools
+import math
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from basalt.llm import mixing
 
@@ -18,20 +20,51 @@ def test_targets():
         assert sum(got) == pytest.approx(sum(sizes)) and all(t <= 3 * s + 1e-9 for t, s in zip(got, sizes, strict=True))
 
 
-def test_fit_is_as_near_as_brute_force():
+def best_sum(lengths, counts, budget):
+    sums = {0}
+    for n, c in zip(lengths, counts, strict=True):
+        sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= budget}
+    return max(sums)
+
+
+def best_bits(lengths, counts, budget):
+    """The same for larger numbers: bit s is set if the sum s can be made."""
+    sums = 1
+    for n, c in zip(lengths, counts, strict=True):
+        for _ in range(c):
+            sums = (sums | sums << n) & (1 << (budget + 1)) - 1
+    return sums.bit_length() - 1
+
+
+def worth(lengths, counts, take):
+    assert all(0 <= k <= c for k, c in zip(take, counts, strict=True))
+    return sum(n * k for n, k in zip(lengths, take, strict=True))
+
+
+@pytest.mark.parametrize("margin, wider", [(8, (1, 8, 64)), (1, (1, 2)), (1, ())])
+def test_fit_equals_brute_force(monkeypatch, margin, wider):
+    monkeypatch.setattr(mixing, "MARGIN", margin)
+    monkeypatch.setattr(mixing, "WIDER", wider)
     rng = random.Random(1)
-    for _ in range(100):
-        lengths = rng.sample(range(1, 30), 4)
-        counts = [rng.randint(1, 3) for _ in lengths]
+    for _ in range(300):
+        lengths = rng.sample(range(1, rng.choice([8, 30, 60])), rng.randint(1, 5))
+        counts = [rng.randint(1, rng.choice([3, 40])) for _ in lengths]
         total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-        budget = rng.randint(0, total)
-        take = mixing.fit(lengths, counts, budget)
-        assert all(0 <= k <= c for k, c in zip(take, counts, strict=True))
-        got = sum(n * k for n, k in zip(lengths, take, strict=True))
-        best = max(s for ks in itertools.product(*(range(c + 1) for c in counts)) if (s := sum(n * k for n, k in zip(lengths, ks, strict=True))) <= budget)
-        assert got <= budget and best - got <= max(lengths)
-    many = list(range(10, 400))
-    assert sum(n * k for n, k in zip(many, mixing.fit(many, [3] * len(many), 77_777), strict=True)) == 77_777
+        budget = rng.randint(0, total + 3)
+        best = best_sum(lengths, counts, budget)
+        assert worth(lengths, counts, mixing.fit(lengths, counts, budget)) == best
+        if 0 < budget < total:
+            assert worth(lengths, counts, mixing._near_vertex(lengths, counts, budget)) == best
+
+
+def test_fit_of_hard_and_large_budgets():
+    for lengths, counts, budget, best in (
+        ([300, 20_000], [50, 1], 21_000, 20_900),
+        ([5100, 5101, 6000], [1, 1, 1], 10_201, 10_201),
+        ([300, 20_000], [10**9, 1], 10**11 + 1, 99_999_999_900),
+        (list(range(1, 20_000, 7)), [10**4] * 2857, 10**11 + 3, 10**11 + 3),
+    ):
+        assert worth(lengths, counts, mixing.fit(lengths, counts, budget)) == best
 
 
 def test_mix(spark, odd_docs, no_docs, sf):
@@ -40,12 +73,25 @@ def test_mix(spark, odd_docs, no_docs, sf):
     assert len(rows) == docs.count()
     size = lambda t: len((t or "").encode().split())
     assert sorted(r["size"] for r in rows) == sorted(size(r["text"]) for r in docs.collect())
-    by = {}
+    # every source is as near to its target as its documents allow
+    of = {}
+    for r in docs.collect():
+        of.setdefault(r["source"], Counter())[size(r["text"])] += 1
+    names = sorted(of, key=lambda x: (x is None, x or ""))
+    sizes = [sum(n * c for n, c in of[x].items()) for x in names]
+    want = Counter()
+    for x, total, target in zip(names, sizes, mixing.targets(sizes), strict=True):
+        whole = min(3, int(target // total)) if total else 0
+        lengths = sorted(n for n in of[x] if n)
+        budget = math.floor(target - whole * total + 0.5)
+        want[total, round(target, 6), whole * total + worth(lengths, [of[x][n] for n in lengths], mixing.fit(lengths, [of[x][n] for n in lengths], budget))] += 1
+        if lengths:
+            assert best_bits(lengths, [of[x][n] for n in lengths], budget) == worth(lengths, [of[x][n] for n in lengths], mixing.fit(lengths, [of[x][n] for n in lengths], budget))
+    taken = Counter()
     for r in rows:
         assert r["taken"] <= 3 * r["size"]
-        by.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
-    for (s, t), taken in by.items():
-        assert abs(sum(taken) - t) <= max(2, 0.02 * s) or s == max(x for x, _ in by)
+        taken[r["source_size"], round(r["target"], 6)] += r["taken"]
+    assert Counter((*k, v) for k, v in taken.items()) == want
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=str)
     assert mixing.mix(no_docs).count() == 0
 
@@ -58,7 +104,30 @@ def test_mixed_rows(odd_docs, no_docs):
     assert mixing.mixed(no_docs).count() == 0
 
 
-def test_too_many_sources(odd_docs, monkeypatch):
+def test_any_number_of_sources(spark, odd_docs, no_docs, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice([None, *(f"s{k}" for k in range(40)), "big", "big", "big"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = [sorted(map(tuple, mixing.mix(d).collect()), key=str) for d in (docs, odd_docs)]
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mix(odd_docs)
+    many = [sorted(map(tuple, mixing.mix(d).collect()), key=str) for d in (docs, odd_docs)]
+    assert few == many
+    assert mixing.mix(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
+
+
+def test_ties_fall_by_text(spark):
+    rows = [(7, f"w{i} x y", "a") for i in range(40)] + [(i, "p q r s", "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (Counter(map(tuple, mixing.mixed(d).collect())) for d in (docs, docs.orderBy(F.rand(3)).repartition(7)))
+    assert first == again and len({t for _, t, s in first if s == "a"}) > 1
+
+
+def test_rows_that_share_a_place(spark, tmp_path):
+    texts = spark.createDataFrame([(i, "a b c " * (i + 1), "xyz"[i % 3]) for i in range(6)], "doc_id long, text string, source string")
+    texts.write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    twice = docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    for table in (docs, twice, docs.join(twice.select("doc_id"), "doc_id"), docs.union(docs), spark.read.parquet(f"{tmp_path}/t", f"{tmp_path}/t")):
+        want = sum(max(r["copies"], r["size"] == 0) for r in mixing.mix(table).collect())
+        got = mixing.mixed(table)
+        assert got.count() == want and got.columns == table.columns
