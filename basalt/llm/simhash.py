@@ -7,9 +7,12 @@ all 64 bits. The sample only chooses the plan; whatever it chooses, the links fo
 
 Equal fingerprints are one class with its smallest id as representative, so copies are never paired. A key shared by more than GROUP
 classes is refined by pigeonhole on another split of all bits into tau + 1 parts, up to LEVELS times; smaller groups give a spanning forest of
-their links. What is larger even then (with tau = 2 nothing) is compared pair by pair in a join.
+their links. All members of a refined group agree in the parts that led to it, so it holds at most 2 ** f of them, f being the bits in none of
+those parts. With tau = 2 every choice of one part a level covers 54 bits after 7 levels (unfixed_bits() walks them all), so no group over 2 ** 10 = GROUP
+is left, however many fingerprints there are. With a larger tau some may be; links() then compares those in a join, pair by pair, and with tau = 2 it
+raises an error instead.
 
-Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; rows with equal ids each
+Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other; a bit that is set in exactly half the hashes is 0; rows with equal ids each
 get a row; a null id gets a fingerprint, and a component if a row that it links to has an id; an empty table gives an empty result; other
 columns, whatever they are called, are kept by keep_one().
 """
@@ -142,6 +145,14 @@ def _splits(level: int, tau: int = TAU) -> list[np.uint64]:
     return [_mask(order[j :: tau + 1]) for j in range(tau + 1)]
 
 
+def unfixed_bits(levels: int, tau: int = TAU) -> int:
+    """The most bits that one part of each of the first levels' splits leaves out."""
+    left = {(1 << 64) - 1}
+    for level in range(1, levels + 1):
+        left = {x & ~int(m) for x in left for m in _splits(level, tau)}
+    return max(x.bit_count() for x in left)
+
+
 def group_links(fp: np.ndarray, bounds: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within tau bits inside each group bounds[i]:bounds[i + 1]."""
     a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -213,6 +224,8 @@ def links(classes: DataFrame, tau: int = TAU) -> DataFrame:
 
     groups = ready.groupBy("key").agg(F.collect_list("fp").alias("members")).select("members")  # at most GROUP members
     out = groups.mapInArrow(compare, "a long, b long")
+    if most > GROUP and tau <= 2:
+        raise RuntimeError(f"a group of {most} fingerprints agrees in 54 bits")
     if most > GROUP:
         rest = found.where(F.col("n") > GROUP)
         pairs = rest.select("key", F.col("fp").alias("a")).join(rest.select("key", F.col("fp").alias("b")), "key")

@@ -97,3 +97,8 @@ def test_components(spark):
     got = dict(map(tuple, connected_components(spark.createDataFrame(chain, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_refined_groups_are_small():
+    assert 2 ** simhash.unfixed_bits(7) <= simhash.GROUP and simhash.LEVELS >= 7
+    assert simhash.unfixed_bits(9) < simhash.unfixed_bits(7)
