@@ -1,13 +1,16 @@
 """Secret scans: candidates by pattern, then a random forest that removes false positives. DataFrame functions only.
 
-A candidate is a run of 16 or more of [A-Za-z0-9+/_-] (and closing =) inside a word, with a digit or 12 capitals in a row. Its features are
-its length, character transitions, dictionary coverage, path-like surroundings and the words beside it. The forest is trained on labelled findings
-(by default those of labelled_findings(), which are generated from a fixed seed: the tables hold no labels for secrets) and is compiled to a
-SQL expression, so scanning needs no Python. Each text's candidates stay in its row: no shuffle, and a document of any length or a source of
-any share is just rows.
-
-Defined cases: a null or empty text has no candidates; null ids stay null; repeated rows are scanned each; an empty table gives an empty result;
-redact() returns exactly the columns of its input, whatever they are called.
+A candidate is a run of [A-Za-z0-9+/_-] (and closing =) inside a word: of 16 characters or more with a digit, 12 capitals in a row, or three changes from
+small to capital letters; or of 8 or more that is assigned (by = or :, perhaps with quotes) to a key word such as password or token. What else may be secret
+is no candidate and stays: shorter runs, passwords of other characters or of several words, and runs of one case without digits that nothing assigns. Lines
+of PEM blocks are runs like others. The features are a candidate's length, character transitions, dictionary coverage, path-like
+surroundings and the words beside it. The forest is trained on labelled findings (by default those of labelled_findings(), which are generated from a fixed
+seed: the tables hold no labels for secrets) and is compiled to a SQL expression, so scanning needs no Python. Each text's candidates stay in its row: no
+shuffle, and a document of any length or a source of any share is just rows.
+
+Defined cases: a null or empty text has no candidates; null ids stay null; repeated rows are scanned each; a secret that stands more than once is
+found each time, at its own place; a probability of exactly the threshold is a secret; an empty table gives an empty result; redact() returns exactly the
+columns of its input, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import functions as F
 
 from basalt.llm.forest import Node, fit_forest, to_sql
 
-SEPARATORS = r"[\x20\x09-\x0D]+"
-RUN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
-LIKELY = r"[0-9]|[A-Z]{12}"
+TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+RUN = r"[A-Za-z0-9+/_-]{8,}={0,2}"
+LONG = 16
+LIKELY = r"[0-9]|[A-Z]{12}|([a-z][A-Z].*){3}"
 THRESHOLD = 0.5
 MASK = "[secret]"
 # Common words and letter groups of the languages in use, longest first so that coverage counts them whole.
@@ -33,6 +37,8 @@ DICTIONARY = (
 ).split()
 KEY_WORDS = r"(?i)(token|secret|passw|pwd|api|key|auth|credential|bearer|private)"
 OTHER_WORDS = r"(?i)(sha|md5|hash|commit|digest|checksum|uuid|card|phone|order|invoice|isbn|serial|version|build|file|page|example|sample)"
+ASSIGNED = KEY_WORDS + r"[A-Za-z_-]*[\"']? ?[=:][\"' ]*$"
+MAYBE = r"[A-Za-z0-9+/_-]{16}|[=:][\"']?[A-Za-z0-9+/_-]{8}"
 KNOWN_FORMAT = r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abp]-|sk_live|sk-|AIza|eyJ)"
 PATH = r"://|\.(com|net|org|html?|png|jpg|js|css|py)\b|@|(^|[^A-Za-z0-9])/|/[A-Za-z0-9_-]+/"
 FEATURES = ("n", "transitions", "digits", "capitals", "small", "hex", "coverage", "slashes", "path", "key_before", "key_near", "other_near", "assigned", "known", "distinct")
@@ -79,18 +85,21 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
     out = []
     while len(out) < n:
         before, after = f"{prose(2)} {prose(1)}", prose(2)
-        name = rng.choice(["token", "api_key", "secret", "access_token", "password", "auth_token", "client_secret", "key"])
-        label, kind = rng.randint(0, 1), rng.random()
+        name = rng.choice(["token", "api_key", "secret", "access_token", "password", "auth_token", "client_secret", "key", "passwd", "private_key"])
+        if rng.random() < 0.2:  # neighbours that have nothing to do with the finding
+            after = rng.choice([f"{prose(2)}@mail.example.com", "order", f"page{rng.randint(1, 99)}", "file", "version 2"])
+        label, kind, end = rng.randint(0, 1), rng.random(), rng.choice(["", "", ".", ",", "###", "***", "!!", "%%%", "$$$"])
         if label:
-            core = rng.choice([lambda: some(hexd, 40), lambda: some(hexd, 32), lambda: some(hexd, rng.choice([16, 18, 20, 24])), lambda: "AKIA" + some(b32, 16), lambda: "ghp_" + some(b62, 36), lambda: some(b62 + "+/", 40), lambda: "sk_live_" + some(b62, 24), lambda: some(b62, rng.randint(20, 48))])()
+            makers = (lambda: some(hexd, 40), lambda: some(hexd, 32), lambda: some(hexd, rng.choice([16, 18, 20, 24])), lambda: "AKIA" + some(b32, 16), lambda: "ghp_" + some(b62, 36), lambda: some(b62 + "+/", 40), lambda: "sk_live_" + some(b62, 24), lambda: some(b62, rng.randint(20, 48)), lambda: some(b62[:52], rng.randint(18, 40)), lambda: some(b62, rng.randint(8, 15)))
+            core = rng.choice(makers)()
             if core.startswith(("AKIA", "ghp_", "sk_live")) and kind < 0.7:
-                word = core + rng.choice(["", ".", ",", "***", "###"])
+                word = core + end
             elif kind < 0.5:
-                word, before = f'"{core}"' + rng.choice(["", "###", ","]), f"{name} ="
+                word, before = f'"{core}"' + end, f"{name} ="
             else:
-                word = f"{name}{rng.choice('=:')}{core}" + rng.choice(["", "$$$", ","])
+                word = f"{name}{rng.choice('=:')}{core}" + end
         else:
-            pick = rng.randint(0, 10)
+            pick = rng.randint(0, 13)
             core = word = [
                 lambda: some("0123456789", 16),
                 lambda: prose(9).upper()[:30],
@@ -103,10 +112,16 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
                 lambda: rng.choice(["x", "X", "0", "1"]) * rng.randint(16, 24),
                 lambda: "YOUR_API_KEY_HERE_" + some("0123456789", 2),
                 lambda: prose(4).upper() + prose(4).upper(),
+                lambda: "".join(prose(2).capitalize() for _ in range(rng.randint(4, 7))),
+                lambda: prose(5)[: rng.randint(8, 15)],
+                lambda: rng.choice(["x", "X", "0", "changeme", "undefined", "required", "example_", "your_password"]) * 8,
             ][pick]()
-            if len(core) < 16:
+            if pick >= 12:
+                core = core[: rng.randint(8, 15)]
+                word, before = (f"{name}{rng.choice('=:')}{core}{end}", before) if kind < 0.5 else (f"{core}{end}", f"{name} {rng.choice('=:')}")
+            elif len(core) < LONG:
                 continue
-            if pick == 4:
+            elif pick == 4:
                 before = f"{prose(1)} {rng.choice(['sha1', 'commit', 'digest', 'md5', 'checksum', 'sha256:'])}"
             elif pick == 5:
                 word = rng.choice(["https://", "/", "www."]) + core + rng.choice([".html", "", ".net"])
@@ -115,7 +130,9 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str
             elif pick in (0, 3) and kind < 0.4:
                 before = f"{prose(1)} {rng.choice(['card', 'order', 'invoice', 'uuid', 'phone'])}"
             else:
-                word = core + rng.choice(["", ".", ",", "!!", "***", "%%%"])
+                word = core + end
+        if rng.random() < 0.12:  # texts in capitals
+            core, word, before, after = (x.upper() for x in (core, word, before, after))
         out.append((core, word, before, after, label))
     return out
 
@@ -129,34 +146,74 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, str, int]] |
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<at, word, before, after>>: the words of a text that hold a candidate, with their neighbours."""
-    words = F.split(F.coalesce(text, F.lit("")), SEPARATORS)
+    """array<struct<at, start, word, before, after>>: the words of a text that may hold a candidate, where they start, and their neighbours."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))  # a word each, with the white space before it
+    block = 256
 
-    def around(words: Column) -> Column:
-        places = F.filter(F.transform(words, lambda w, i: F.when((F.length(w) >= 16) & w.rlike(LIKELY) & w.rlike(RUN), i)), lambda i: i.isNotNull())
-        word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), word(i).alias("word"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("before"), word(i + 1).alias("after")))
+    def word(t: Column) -> Column:
+        return F.coalesce(F.regexp_replace(t, r"^[\x20\x09-\x0D]+", ""), F.lit(""))
 
-    # the words are bound once, as a lambda's variable
-    return F.element_at(F.transform(F.array(words), around), 1)
+    def length(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), lambda n, t: n + F.length(t))
+
+    def around(held: Column) -> Column:
+        tokens, places, blocks = held["tokens"], held["places"], held["blocks"]
+        near = lambda i: word(F.get(tokens, i))
+
+        def one(i: Column) -> Column:
+            of = F.floor(i / block).cast("int")
+            end = F.aggregate(F.slice(blocks, F.lit(1), of), F.lit(0), lambda n, x: n + x) + length(F.slice(tokens, of * block + 1, i % block + 1))
+            return F.struct(i.alias("at"), (end - F.length(near(i))).alias("start"), near(i).alias("word"), F.concat_ws(" ", near(i - 2), near(i - 1)).alias("before"), near(i + 1).alias("after"))
+
+        return F.transform(places, one)
+
+    def placed(tokens: Column) -> Column:
+        assigned = lambda i: F.coalesce(F.get(tokens, i - 1).rlike(r"[=:][\"']*$"), F.lit(False))
+        places = F.filter(F.transform(tokens, lambda t, i: F.when((F.length(t) >= 8) & ((t.rlike(MAYBE)) | (assigned(i) & t.rlike(RUN))), i)), lambda i: i.isNotNull())
+        return F.struct(tokens.alias("tokens"), places.alias("places"))
+
+    def summed(held: Column) -> Column:
+        # lengths of blocks of tokens, so that a place costs no sum over the whole text
+        many = F.transform(F.sequence(F.lit(0), F.floor(F.size(held["tokens"]) / block).cast("int")), lambda b: length(F.slice(held["tokens"], b * block + 1, F.lit(block))))
+        return F.struct(held["tokens"].alias("tokens"), held["places"].alias("places"), F.when(F.size(held["places"]) > 0, many).otherwise(F.array().cast("array<int>")).alias("blocks"))
+
+    # what is used more than once is bound, as a lambda's variable
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    return once(once(once(tokens, placed), summed), around)
+
+
+def cores(word: Column) -> Column:
+    """array<struct<core, place>> of a word's runs in order; place counts characters from 1."""
+    start = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<core:string,place:int>>").alias("found"))
+
+    def step(held: Column, core: Column) -> Column:
+        place = F.call_function("locate", core, word, held["from"])
+        return F.struct((place + F.length(core)).alias("from"), F.concat(held["found"], F.array(F.struct(core.alias("core"), place.alias("place")))).alias("found"))
+
+    return F.aggregate(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), start, step, lambda held: held["found"])
+
+
+def is_candidate(core: Column, left: Column, before: Column) -> Column:
+    """left: what stands before the core in its word; before: the two words before that."""
+    return ((F.length(core) >= LONG) & core.rlike(LIKELY)) | F.concat(before, F.lit(" "), left).rlike(ASSIGNED)
 
 
 def scan(docs: DataFrame, forest: list[Node], *, text_col: str = "text", into: str = "findings", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with an array of findings struct<word_at, start, secret, probability, is_secret>; start counts characters from 0, at the secret's first place."""
-    text = F.col(text_col)
+    """docs with an array of findings struct<word_at, start, secret, probability, is_secret>; start counts characters from 0."""
+    made = lambda c, x: F.struct(*(v.cast("double").alias(k) for k, v in feature_columns(x["core"], c["word"], c["before"], c["after"]).items()))
     each = F.flatten(
         F.transform(
             F.col("_cand"),
             lambda c: F.transform(
-                F.filter(F.regexp_extract_all(c["word"], F.lit(RUN), F.lit(0)), lambda core: core.rlike(LIKELY)),
-                lambda core: F.struct(c["at"].alias("at"), core.alias("core"), F.struct(*(v.cast("double").alias(k) for k, v in feature_columns(core, c["word"], c["before"], c["after"]).items())).alias("f")),
+                F.filter(cores(c["word"]), lambda x: is_candidate(x["core"], F.substring(c["word"], F.lit(1), x["place"] - 1), c["before"])),
+                lambda x: F.struct(c["at"].alias("at"), (c["start"] + x["place"] - 1).alias("start"), x["core"].alias("core"), made(c, x).alias("f")),
             ),
         )
     )
-    found = docs.withColumn("_cand", candidates(text)).withColumn("_each", each)
-    scored = F.expr(f"transform(_each, e -> struct(e.at AS at, e.core AS core, element_at(transform(array(e.f), _f -> {to_sql(forest, [f'_f.{k}' for k in FEATURES])}), 1) AS p))")
+    found = docs.withColumn("_cand", candidates(F.col(text_col))).withColumn("_each", each)
+    scored = F.expr(f"transform(_each, e -> struct(e.at AS at, e.start AS start, e.core AS core, element_at(transform(array(e.f), _f -> {to_sql(forest, [f'_f.{k}' for k in FEATURES])}), 1) AS p))")
     out = found.withColumn("_scored", scored)
-    final = F.transform("_scored", lambda s: F.struct(s["at"].cast("long").alias("word_at"), (F.position(s["core"], text) - 1).cast("long").alias("start"), s["core"].alias("secret"), s["p"].alias("probability"), (s["p"] >= threshold).alias("is_secret")))
+    final = F.transform("_scored", lambda s: F.struct(s["at"].cast("long").alias("word_at"), s["start"].cast("long").alias("start"), s["core"].alias("secret"), s["p"].alias("probability"), (s["p"] >= threshold).alias("is_secret")))
     return out.withColumn(into, final).drop("_cand", "_each", "_scored")
 
 

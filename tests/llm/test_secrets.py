@@ -1,3 +1,7 @@
+import re
+import string
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -18,6 +22,10 @@ TEXTS = [
     (6, None, 0),
     (7, "", 0),
     (None, "password=b7db7aa4a5fcc78305 again password=b7db7aa4a5fcc78305", 2),
+    (8, '\n\t é token: "aB3dE9kQ2x" and passwd=QwXzRtYpLmNbVcGhJk;', 2),
+    (9, "token = undefined and password: required here, key = identifier", 0),
+    (10, "getElementByIdFromTheNode and AbstractionOfTheInterestingEntries", 0),
+    (11, "api_key=24be64439e3e49cf46b2,24be64439e3e49cf46b2", 2),
 ]
 
 
@@ -45,6 +53,61 @@ def test_redaction(spark, trained, odd_docs):
     assert odd.columns == odd_docs.columns and sorted(map(str, odd.collect())) == sorted(map(str, odd_docs.collect()))
 
 
+def test_places_in_long_texts(spark, trained):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    text = "".join(f"é w{i} \t\n" + (f'token = "{key}" ' if i % 97 == 0 else "") for i in range(6000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.findings(docs, trained).where("is_secret").collect()
+    assert sorted(r["start"] for r in got) == [m.start() for m in re.finditer(key, text)] and len(got) == 62
+    assert secrets.redact(docs, trained).first()["text"] == text.replace(key, secrets.MASK)
+
+
+def test_recall_on_planted_secrets(spark, trained):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    got = {(r["doc_id"], r["start"]) for r in secrets.findings(docs, trained).where("is_secret").collect()}
+    planted = {(r["doc_id"], m.start(1)) for r in docs.where("text is not null").collect() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r["text"])}
+    assert len(planted) > 100 and len(planted & got) >= 0.9 * len(planted)
+    assert len(got - planted) <= 0.05 * len(planted)
+
+
+def slow_candidates(text):
+    """(word_at, start, core) of a text's candidates, by the rules of the module's docstring."""
+    words, out = [(m.start(), m[0]) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)], []
+    for i, (start, word) in enumerate(words):
+        before = " ".join(w for _, w in words[max(0, i - 2) : i])
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{8,}={0,2}", word):
+            likely = re.search(r"[0-9]|[A-Z]{12}", m[0]) or len(re.findall(r"[a-z](?=[A-Z])", m[0])) >= 3
+            given = re.search(r"(token|secret|passw|pwd|api|key|auth|credential|bearer|private)[a-z_-]*[\"']? ?[=:][\"' ]*$", f"{before} {word[:m.start()]}", re.I)
+            if len(m[0]) >= 16 and likely or given:
+                out.append((i, start + m.start(), m[0]))
+    return out
+
+
+def slow_features(core, word, before, after):
+    n, left = len(core), word.split(core)[0]
+    share = lambda kept: sum(c in kept for c in core) / n
+    low, hit = core.lower(), 0
+    while low:
+        piece = next((d for d in secrets.DICTIONARY if low.startswith(d)), "")
+        hit, low = hit + len(piece), low[max(1, len(piece)) :]
+    has = lambda pattern, text: float(bool(re.search(pattern, text)))
+    return [n, (len(re.findall("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", core)) - 1) / (n - 1), share(string.digits), share(string.ascii_uppercase), share(string.ascii_lowercase), has("^[0-9a-fA-F]+$", core), hit / n, sum(c in "/_-" for c in core), has(secrets.PATH, word), has(secrets.KEY_WORDS, left), has(secrets.KEY_WORDS, before), has(secrets.OTHER_WORDS, f"{before} {left} {after}"), has("[=:][\"' ]*$", f"{before} {left}"), has(secrets.KNOWN_FORMAT, core), len(set(core)) / n]
+
+
+def test_against_brute_force(spark, trained):
+    """Candidates, places, features and the forest, each written a second time in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null").union(spark.createDataFrame([t[:2] for t in TEXTS if t[1]], "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["word_at"], r["start"], r["secret"], round(r["probability"], 9)) for r in secrets.findings(docs, trained).collect())
+    want = Counter()
+    for r in docs.collect():
+        words = r["text"].translate({c: " " for c in range(9, 14)}).split(" ")
+        words = [w for w in words if w]
+        for i, start, core in slow_candidates(r["text"]):
+            x = slow_features(core, words[i], " ".join(words[max(0, i - 2) : i]), words[i + 1] if i + 1 < len(words) else "")
+            want[r["doc_id"], i, start, core, round(float(forest.predict(trained, np.array([x], float))[0]), 9)] += 1
+    assert got == want and len(want) > 50
+
+
 def test_plan_is_native(spark, trained, odd_docs):
     plan = secrets.findings(odd_docs, trained)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow"))
