@@ -4,12 +4,18 @@ The reader cuts files into byte ranges. A task scans its range for gzip magic, d
 headers with a type, an id and a length; the whole member must then decode, pass gzip's checksum and hold the stated length. A task owns the
 records that start inside its range, and follows the last one past the range's end. Magic bytes inside compressed data fail these tests.
 
+A record's payload may itself be an archive, stored as it is, and a range that starts inside it would find its members. So ranges are scanned twice. The
+first scan only notes from where to where members follow each other. As a file begins with a record, the place where the first range's last member ends is
+known to be outside of all others; so is, range by range, the end of the last member that starts at or after the place before. The second scan
+reads each range from its place on. What is noted of a file is as long as the file has ranges, and one task strings it together.
+
 Files are opened with pyarrow's file systems, so archives may lie in any store that those read (local, HDFS, S3, ...). A task writes under a name
 of its own attempt and renames when it is done, so a lost executor leaves no half-written archive in place.
 
 Defined cases: a null payload counts as empty; a null id is written as such and reads back null; rows with equal ids and payloads are all
 responses when theirs is the largest id, so none refers to itself; a payload whose rows all have null ids has only responses; null urls
-become empty; an empty table writes no records and reads back empty; other columns are ignored.
+become empty; an empty table writes no records and reads back empty; other columns are ignored. A damaged member is passed over. A record of any
+length is held whole by the one task that reads it, its payload at most 2 GB (a column's value).
 """
 
 from __future__ import annotations
@@ -105,9 +111,9 @@ def _headers(data: bytes) -> dict[str, str] | None:
     return fields if {"warc-type", "warc-record-id", "content-length"} <= fields.keys() and fields["content-length"].isdigit() else None
 
 
-def decode_member(read, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """(headers, block, where the member ends) of the record at this offset, or None if there is none. read(offset, size) gives bytes."""
-    z, data, pos, fields, start = zlib.decompressobj(31), bytearray(), at, None, 0
+def decode_member(read, at: int, *, keep: bool = True) -> tuple[dict[str, str], bytes, int] | None:
+    """(headers, block, where the member ends) of the record at this offset, or None if there is none. read(offset, size) gives bytes; without keep no block."""
+    z, data, pos, fields, start, length = zlib.decompressobj(31), bytearray(), at, None, 0, 0
     step = 4096
     try:
         while not z.eof:
@@ -115,7 +121,10 @@ def decode_member(read, at: int) -> tuple[dict[str, str], bytes, int] | None:
             if not piece:
                 return None
             pos += len(piece)
-            data += z.decompress(piece)
+            more = z.decompress(piece)
+            length += len(more)
+            if fields is None or keep:
+                data += more
             if fields is None:
                 if not data.startswith(b"WARC/1."[: len(data)]):
                     return None
@@ -124,13 +133,13 @@ def decode_member(read, at: int) -> tuple[dict[str, str], bytes, int] | None:
             step = _PIECE
     except zlib.error:
         return None
-    if fields is None or len(data) < start + int(fields["content-length"]):
+    if fields is None or length < start + int(fields["content-length"]):
         return None
-    return fields, bytes(data[start : start + int(fields["content-length"])]), pos - len(z.unused_data)
+    return fields, bytes(data[start : start + int(fields["content-length"])]) if keep else b"", pos - len(z.unused_data)
 
 
-def records_in(read, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of the records that start in [start, end)."""
+def records_in(read, start: int, end: int, *, keep: bool = True) -> Iterator[tuple[int, dict[str, str], bytes, int]]:
+    """(offset, headers, block, where it ends) of the records that start in [start, end), each after the one before."""
     at = start
     while at < end:
         # magic may straddle the end of a piece, or of the range
@@ -142,14 +151,49 @@ def records_in(read, start: int, end: int) -> Iterator[tuple[int, dict[str, str]
         at += found
         if at >= end:
             return
-        got = decode_member(read, at)
+        got = decode_member(read, at, keep=keep)
         if got is None:
             at += 1
             continue
-        yield at, got[0], got[1]
+        yield at, *got
         at = got[2]
 
 
+def chains(read, start: int, end: int) -> list[int]:
+    """[from, to, from, to, ...]: where members that start in [start, end) follow each other."""
+    out: list[int] = []
+    for at, _, _, stop in records_in(read, start, end, keep=False):
+        if out and out[-1] == at:
+            out[-1] = stop
+        else:
+            out += [at, stop]
+    return out
+
+
+def entries(ranges: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
+    """(place to read from, end) of a file's ranges (start, end, chains), in order; ranges without a record of their own are left out."""
+    out, free = [], 0
+    for start, end, found in sorted(ranges):
+        begin = max(start, free)
+        mine = [stop for at, stop in zip(found[::2], found[1::2], strict=True) if at >= begin]
+        if mine:
+            out.append((begin, end))
+            free = mine[-1]
+    return out
+
+
+def _reader(uri: str):
+    """(the open file, read(offset, size)) of a path."""
+    fs, name = _open(uri)
+    f = fs.open_input_file(name)
+
+    def at(offset: int, size: int) -> bytes:
+        f.seek(offset)
+        return f.read(size)
+
+    return f, at
+
+
 def _number(urn: str | None) -> int | None:
     digits = (urn or "").strip("<>").removeprefix(_URN)
     return int(digits) if re.fullmatch(r"-?\d+", digits) else None
@@ -162,20 +206,29 @@ def read(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES) -> D
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true").load(path).select("path", "length")
     ranges = files.where("length > 0").select("path", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start"), "length")
     ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, "length").alias("stop"))
-    n = ranges.count()
+    tasks = max(1, min(ranges.count(), 20_000))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, start, stop in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                fs, name = _open(uri)
-                with fs.open_input_file(name) as f:
-                    rows, held = [], 0
+                f, at = _reader(uri)
+                with f:
+                    found = chains(at, start, stop)
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([start]), pa.array([stop]), pa.array([found], pa.list_(pa.int64()))], names=["path", "start", "stop", "found"])
 
-                    def at(offset: int, size: int, f=f) -> bytes:
-                        f.seek(offset)
-                        return f.read(size)
+    def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, noted in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                got = entries([(x["start"], x["stop"], x["found"]) for x in noted])
+                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(got), pa.string()), pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["path", "start", "stop"])
 
-                    for _, head, block in records_in(at, start, stop):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, start, stop in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                f, at = _reader(uri)
+                with f:
+                    rows, held = [], 0
+                    for _, head, block, _ in records_in(at, start, stop):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         stated = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
                         kind = head["warc-type"]
@@ -188,7 +241,10 @@ def read(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES) -> D
                             rows, held = [], 0
                     yield _batch(rows)
 
-    return ranges.repartition(max(1, min(n, 20_000))).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
+    scanned = ranges.repartition(tasks).mapInArrow(scan, "path string, start long, stop long, found array<long>")
+    noted = scanned.groupBy("path").agg(F.collect_list(F.struct("start", "stop", "found")).alias("noted"))  # one entry for each range of a file
+    whole = staged(noted.mapInArrow(string, "path string, start long, stop long"), "ranges")
+    return whole.repartition(tasks).mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import duckdb
 
@@ -32,7 +33,7 @@ def test_false_magic_is_rejected():
     inner = warc.record(99, "x", b"inner", None)
     data = b"junk" + warc.MAGIC + b"\0" * 20 + warc.record(1, "a", b"one", None) + b"\x1f\x8b" + warc.record(2, "b", inner[: len(inner) // 2] * 3, None)
     read = lambda at, n: data[at : at + n]
-    found = [(at, h["warc-record-id"]) for at, h, _ in warc.records_in(read, 0, len(data))]
+    found = [(at, h["warc-record-id"]) for at, h, *_ in warc.records_in(read, 0, len(data))]
     assert [i for _, i in found] == ["<urn:page:1>", "<urn:page:2>"]
     for size in (1, 7, 64):
         pieces = [x for s in range(0, len(data), size) for x in warc.records_in(read, s, min(len(data), s + size))]
@@ -44,7 +45,7 @@ def test_damaged_members_are_passed_over():
     broken = bytearray(whole[1])
     broken[len(broken) // 2] ^= 0xFF
     data = whole[0] + bytes(broken) + whole[2]
-    assert [h["warc-record-id"] for _, h, _ in warc.records_in(lambda at, n: data[at : at + n], 0, len(data))] == ["<urn:page:0>", "<urn:page:2>"]
+    assert [h["warc-record-id"] for _, h, *_ in warc.records_in(lambda at, n: data[at : at + n], 0, len(data))] == ["<urn:page:0>", "<urn:page:2>"]
 
 
 def test_query_on_copies_equals_sql(spark, tmp_path):
@@ -58,7 +59,31 @@ def test_query_on_copies_equals_sql(spark, tmp_path):
     assert {r[3] for r in got} == {"response", "revisit"}
 
 
+def stored(block, page):
+    """A record whose deflate data is the block as it is."""
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return z.compress(head + block + b"\r\n\r\n") + z.flush()
+
+
+def test_archives_inside_archives(spark, tmp_path):
+    rng = random.Random(4)
+    noise = lambda n: rng.randbytes(n)
+    nest = b"".join(warc.record(100 + i, "u", noise(300), None) for i in range(60))
+    deep = stored(b"HTTP/1.1 200 OK\r\n\r\n" + nest[:20_000], 50)
+    members = [warc.record(1, "a", noise(2000), None), stored(b"HTTP/1.1 200 OK\r\n\r\n" + nest, 2), stored(b"HTTP/1.1 200 OK\r\n\r\n" + deep * 2, 3), warc.record(4, "b", b"end", None)]
+    data = b"".join(members)
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    (tmp_path / "y.warc.gz").write_bytes(warc.record(9, "c", noise(5000), None))
+    assert len(warc.chains(lambda at, n: data[at : at + n], len(members[0]) + 500, len(data))) > 2  # phantoms are there
+    for size in (700, 4096, 33_333, 1 << 23):
+        got = warc.read(spark, str(tmp_path), split_bytes=size).collect()
+        assert sorted(r["page_id"] for r in got) == [1, 2, 3, 4, 9]
+        assert {r["page_id"]: bytes(r["payload"]) for r in got}[2] == nest
+
+
 def test_empty(spark):
     path = new_dir(spark, "warc")
     df = pages(spark, []).repartition(1)
     assert warc.write(df, path) == 0
+    assert warc.read(spark, path).count() == 0 and warc.read(spark, path).columns[0] == "page_id"
