@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 
 # Cut points of the quadrant probabilities .57, .19, .19, .05 in 1024ths.
 CUTS = (583, 777, 971)
+PER_HASH = 10
 
 
 def rmat(spark: SparkSession, scale: int, edge_factor: int = 1, *, seed: int = 0) -> DataFrame:
     """edge_factor * 2**scale edges (src, dst) over 2**scale vertices. Repeats and self loops stay, as graph.prepare() removes them."""
     a, b, c = CUTS
-    draws = F.transform(F.sequence(F.lit(1), F.lit(scale)), lambda i: F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(1024)))
+    # an MD5 digest has 32 hexadecimal digits: three of them for each of PER_HASH draws
+    hashes = F.transform(F.sequence(F.lit(0), F.lit((scale - 1) // PER_HASH)), lambda j: F.md5(F.concat_ws(":", "id", j, F.lit(seed))))
+    digits = lambda i: F.substring(F.element_at("hashes", (F.floor(i / PER_HASH) + 1).cast("int")), 3 * (i % PER_HASH) + 1, F.lit(3))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(scale - 1)), lambda i: F.conv(digits(i), 16, 10).cast("int") % 1024)
     bit = lambda on: F.aggregate("draws", F.lit(0).cast("bigint"), lambda n, r: n * 2 + on(r).cast("bigint"))
     src = bit(lambda r: ((r >= a) & (r < b)) | (r >= c))
     dst = bit(lambda r: r >= b)
-    return spark.range(edge_factor << scale).withColumn("draws", draws).select(src.alias("src"), dst.alias("dst"))
+    return spark.range(edge_factor << scale).withColumn("hashes", hashes).withColumn("draws", draws).select(src.alias("src"), dst.alias("dst"))
 
 
 def _attach(n: int, edge_factor: int, uniform: float, seed: int) -> Iterator[tuple[int, int]]:

@@ -1,19 +1,20 @@
 """Vertex-centric graphs: supersteps, programs and the loops around them.
 
-Edges are a DataFrame (src, dst[, weight]). Loops checkpoint their state reliably each round and use its count as the only action."""
+Edges are a DataFrame (src, dst[, weight]). Loops deal the edges by source once and keep their state dealt by key, so a round moves the frontier and its
+messages only: state and edges stay where they are. State is checkpointed each round."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.reducers import reducer
 from basalt.operators import vectors
 from basalt.operators.ordering import running_total
-from basalt.session import cut
+from basalt.session import cut, width
 
 DAMPING, PAGE_BYTES = 0.85, 8192
 
@@ -31,6 +32,17 @@ BFS = GraphProgram(lambda v, arg: v, "min")
 SSSP = GraphProgram(lambda v, arg: v + arg, "min", lambda new, old: new >= old)
 PAGERANK = GraphProgram(lambda v, outdeg: v / outdeg, "add")
 CONTRIBUTION = GraphProgram(lambda v, arg: v, "add")
+UPDATE = GraphProgram(lambda v, arg: v, "max")
+
+
+def update(visited: DataFrame, found: DataFrame) -> DataFrame:
+    """visited (key, value) with the values of found, and its new keys: the update program's step on the visited list."""
+    return vectors.union(found, visited)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt and sorted by key and cut there, so that joins on the key don't move it again."""
+    return cut(df.repartition(width(df.sparkSession), key).sortWithinPartitions(key))
 
 
 def prepare(edges: DataFrame) -> DataFrame:
@@ -90,20 +102,17 @@ def superstep(frontier: DataFrame, edges: DataFrame, program: GraphProgram, *, a
 def bfs(edges: DataFrame, source: int, *, parents: str = "min", until: int | None = None, max_levels: int = 10_000) -> DataFrame:
     """(key, level, parent) of the vertices reached; of several parents the smallest or largest counts. The source is its own parent."""
     spark = edges.sparkSession
-    edges = edges.select("src", "dst")
+    edges = dealt(edges.select("src", "dst"), "src")
     step = GraphProgram(lambda v, arg: v, parents)
-    visited = cut(spark.createDataFrame([(source, 0, source)], "key bigint, level int, parent bigint"))
-    frontier = visited
+    visited = frontier = dealt(spark.createDataFrame([(source, 0, source)], "key bigint, level int, parent bigint"), "key")
     for level in range(1, max_levels + 1):
         if until is not None and not frontier.where(F.col("key") == until).isEmpty():
             break
         found = superstep(frontier.select("key", F.col("key").alias("value")), edges, step)
-        frontier = cut(vectors.diff(found, visited).select("key", F.lit(level).alias("level"), F.col("value").alias("parent")))
+        visited = cut(visited.join(found, "key", "full").select("key", F.coalesce("level", F.lit(level)).alias("level"), F.coalesce("parent", "value").alias("parent")))
+        frontier = visited.where(F.col("level") == level)
         if frontier.isEmpty():
             break
-        visited = visited.union(frontier)
-        if level % 8 == 0:
-            visited = cut(visited)
     return visited
 
 
@@ -112,6 +121,19 @@ def level_statistics(reached: DataFrame) -> DataFrame:
     return reached.groupBy("level").agg(F.count("*").alias("n"))
 
 
+def level_report(edges: DataFrame, source: int, *, page: int = PAGE_BYTES, bytes_each: int = 8) -> DataFrame:
+    """(level, frontier, visited, pages) of a search from source: new vertices, all so far, and pages of adjacency data that the level's vertices lie on."""
+    edges = dealt(edges.select("src", "dst"), "src")
+    reached = bfs(edges, source)
+    index = csr(edges, width=bytes_each).where("degree > 0").select(F.col("id").alias("key"), "degree", "offset")
+    spans = F.sequence(F.expr(f"offset div {page}"), F.expr(f"(offset + degree * {bytes_each} - 1) div {page}"))
+    pages = reached.join(index, "key").select("level", F.explode(spans).alias("p")).groupBy("level").agg(F.count_distinct("p").alias("pages"))
+    # one row for each level meets in the window
+    so_far = F.sum("n").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    levels = level_statistics(reached).select("level", F.col("n").alias("frontier"), so_far.alias("visited"))
+    return levels.join(pages, "level", "left").select("level", "frontier", "visited", F.coalesce("pages", F.lit(0)).alias("pages"))
+
+
 def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
     """(step, vertex) from the target's parent back to the source, by largest parents; no rows if there is no path, the source alone if both are one."""
     spark = edges.sparkSession
@@ -129,14 +151,15 @@ def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
 def sssp(edges: DataFrame, source: int, *, max_rounds: int = 10_000) -> DataFrame:
     """(key, value): least sums of weights from source, weights not negative; 1 each where edges have none."""
     spark = edges.sparkSession
-    frontier = cut(vectors.of_rows(spark, [(source, 0)]))
-    best = frontier
+    edges = dealt(edges.select("src", "dst", *(c for c in ("weight",) if c in edges.columns)), "src")
+    best = dealt(vectors.of_rows(spark, [(source, 0)]).withColumn("changed", F.lit(True)), "key")
     for _ in range(max_rounds):
-        frontier = cut(vectors.not_converged(superstep(frontier, edges, SSSP), best, SSSP.converged))
-        if frontier.isEmpty():
+        found = superstep(best.where("changed").select("key", "value"), edges, SSSP).withColumnRenamed("value", "new")
+        done = F.coalesce(F.col("new").isNull() | (F.col("value").isNotNull() & SSSP.converged(F.col("new"), F.col("value"))), F.lit(False))
+        best = cut(best.select("key", "value").join(found, "key", "full").select("key", F.least("value", "new").alias("value"), (~done).alias("changed")))
+        if best.where("changed").isEmpty():
             break
-        best = cut(vectors.union(best, frontier, "min"))
-    return best
+    return best.select("key", "value")
 
 
 def contribution_init(edges: DataFrame, n: int) -> DataFrame:
@@ -153,8 +176,8 @@ def contribution_step(vector: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 10, *, damping: float = DAMPING) -> DataFrame:
     """(key, value): rank = 1 - damping + damping * sum(rank / outdegree) for every vertex of the edges, from 1 each."""
-    out = cut(edges.select("src", "dst").join(degrees(edges).select(F.col("key").alias("src"), F.col("degree").alias("arg")), "src"))
-    vertices = cut(edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct())
+    out = dealt(edges.select("src", "dst").join(degrees(edges).select(F.col("key").alias("src"), F.col("degree").alias("arg")), "src"), "src")
+    vertices = dealt(edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct(), "key")
     ranks = vertices.withColumn("value", F.lit(1.0))
     for i in range(rounds):
         sent = ranks.join(out, ranks["key"] == out["src"]).groupBy(F.col("dst").alias("key")).agg(F.sum(PAGERANK.edge(F.col("value"), F.col("arg"))).alias("s"))

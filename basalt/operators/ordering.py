@@ -1,12 +1,14 @@
 """Sorting, merging of sorted lists, positions and order checks.
 
-Windows are always partitioned: what would need one global window is done in blocks, with a second pass over one row for each block."""
+What would need a window over all rows is done in blocks; only the blocks' own rows, one for each, meet in one window."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.session import cut
+
 BLOCK = 1 << 16
 
 
@@ -25,6 +27,19 @@ def merge_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     return sort_edges(a.unionByName(b))
 
 
+def positions(df: DataFrame, *order: Column) -> DataFrame:
+    """df sorted, with position, the row's place from 0. Rows are dealt by ranges; a count for each partition comes to the driver."""
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", place))
+    base, before = [], 0
+    for row in sorted(ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()):
+        base.append((row["_p"], before))
+        before += row["n"]
+    known = F.broadcast(spark.createDataFrame(base, "_p int, _base bigint"))  # one row for each partition
+    return ranged.join(known, "_p").withColumn("position", F.col("_base") + F.col("_i")).drop("_p", "_i", "_base")
+
+
 def sort_small(values: Column, *, descending: bool = False) -> Column:
     """An array's elements in order: the fixed-width sorting network."""
     return F.sort_array(values, asc=not descending)

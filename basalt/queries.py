@@ -12,6 +12,8 @@ from basalt.operators import generate, graph, ordering, reduce, vectors
 from basalt.plans import q14
 from basalt.sources import columns, edges as edge_files
 from basalt.sources.tables import table
+from basalt.session import scratch
+from basalt.streaming import continuous
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,6 +169,23 @@ def sort_key_value(spark, d):
     return ordering.sort_kv(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value")))
 
 
+@query("SELECT user_id AS key, event_id AS value, row_number() OVER (ORDER BY user_id, event_id) - 1 AS position FROM events")
+def sort_positions(spark, d):
+    kv = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value"))
+    return ordering.positions(kv, F.asc("key"), F.asc("value"))
+
+
+@query("SELECT user_id AS key, event_id AS value, row_number() OVER (ORDER BY user_id DESC, event_id DESC) - 1 AS position FROM events")
+def sort_positions_descending(spark, d):
+    kv = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("value"))
+    return ordering.positions(kv, F.desc("key"), F.desc("value"))
+
+
+@query("SELECT event_id, event_id // 256 AS page, row_number() OVER (PARTITION BY event_id // 256 ORDER BY user_id DESC, event_id) AS rank FROM events")
+def page_sort_descending(spark, d):
+    return ordering.page_sort(table(spark, d, "events").select("event_id", "user_id"), "event_id", "user_id", descending=True).select("event_id", "page", F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("SELECT event_id, event_id // 256 AS page, row_number() OVER (PARTITION BY event_id // 256 ORDER BY user_id, event_id) AS rank FROM events")
 def page_sort_256(spark, d):
     return ordering.page_sort(table(spark, d, "events").select("event_id", "user_id"), "event_id", "user_id").select("event_id", "page", F.col("rank").cast("bigint").alias("rank"))
@@ -195,14 +214,14 @@ def is_sorted_report(spark, d):
 
 # --- graphs
 
-_E1 = """e AS (SELECT DISTINCT l_partkey AS src, l_orderkey % (SELECT count(*) FROM part) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_partkey <> l_orderkey % (SELECT count(*) FROM part))"""
+_E1 = """e AS (SELECT DISTINCT l_partkey AS src, l_orderkey % (SELECT count(*) FROM part) AS dst FROM lineitem WHERE l_partkey <> l_orderkey % (SELECT count(*) FROM part))"""
 _LEVELS = f"WITH RECURSIVE {_E1}, r(key, level) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT dst, level + 1 FROM r JOIN e ON src = key WHERE level < 16), l AS (SELECT key, min(level) AS level FROM r GROUP BY key)"
 _DEGREE = "d AS (SELECT src, count(*) AS n FROM e GROUP BY src)"
 
 
 def _raw_edges(spark, d):
     n = table(spark, d, "part").agg(F.count("*").alias("n_ids"))
-    lines = table(spark, d, "lineitem").where("l_linenumber = 1").join(F.broadcast(n))  # one row
+    lines = table(spark, d, "lineitem").join(F.broadcast(n))  # one row
     return lines.select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") % F.col("n_ids")).alias("dst"))
 
 
@@ -264,10 +283,11 @@ def edges_of_vertex(spark, d):
     return graph.neighbours(_edges(spark, d), 7)
 
 
-@query(f"WITH {_E1} SELECT dst AS key, min(src + 1 + (src + dst) % 7) AS value FROM e WHERE src < 50 GROUP BY dst")
+@query(f"WITH {_E1} SELECT dst AS key, min(src + 1 + (src + dst) % 7) AS value FROM e GROUP BY dst")
 def superstep_min(spark, d):
-    seeds = spark.range(50).select(F.col("id").alias("key"), F.col("id").alias("value"))
-    return graph.superstep(seeds, _weighted(spark, d), graph.SSSP)
+    edges = _weighted(spark, d)
+    seeds = edges.select(F.col("src").alias("key")).distinct().withColumn("value", F.col("key"))
+    return graph.superstep(seeds, edges, graph.SSSP)
 
 
 @query(f"WITH {_E1}, {_DEGREE} SELECT dst AS key, round(sum(1.0::DOUBLE / n), 6) AS value FROM e JOIN d USING (src) GROUP BY dst")
@@ -287,6 +307,16 @@ def bfs_level_counts(spark, d):
     return graph.level_statistics(graph.bfs(_edges(spark, d), 0))
 
 
+@query(
+    f"""{_LEVELS}, n AS (SELECT level, count(*) AS frontier FROM l GROUP BY level), g AS (SELECT id, count(dst) AS degree FROM (SELECT unnest(range(0, (SELECT max(src) + 1 FROM e))) AS id) LEFT JOIN e ON src = id GROUP BY id),
+    o AS (SELECT id, degree, 8 * (sum(degree) OVER (ORDER BY id) - degree) AS "offset" FROM g),
+    p AS (SELECT level, unnest(range(CAST("offset" // 8192 AS BIGINT), CAST(("offset" + 8 * degree - 1) // 8192 + 1 AS BIGINT))) AS p FROM l JOIN o ON id = key WHERE degree > 0)
+    SELECT level, frontier, CAST(sum(frontier) OVER (ORDER BY level) AS BIGINT) AS visited, (SELECT count(DISTINCT p) FROM p WHERE p.level = n.level) AS pages FROM n"""
+)
+def bfs_level_report(spark, d):
+    return graph.level_report(_edges(spark, d), 0)
+
+
 @query(f"{_LEVELS} SELECT l.key, CASE WHEN l.level = 0 THEN l.key ELSE (SELECT min(p.key) FROM l p JOIN e ON e.src = p.key WHERE e.dst = l.key AND p.level = l.level - 1) END AS parent FROM l")
 def bfs_parents(spark, d):
     return graph.bfs(_edges(spark, d), 0).select("key", "parent")
@@ -335,7 +365,11 @@ def pagerank_10(spark, d):
     return graph.pagerank(_edges(spark, d), 10).withColumn("value", F.round("value", 6))
 
 
-@query()
+_RMAT = "[CAST('0x' || substr(md5(id || ':' || (i // 10) || ':1'), 3 * (i % 10) + 1, 3) AS INTEGER) % 1024 for i in range(12)]"
+_bits = lambda on: " + ".join(f"CASE WHEN {on.replace('x', f'r[{i + 1}]')} THEN {1 << 11 - i} ELSE 0 END" for i in range(12))
+
+
+@query(f"SELECT CAST({_bits('(x >= 583 AND x < 777) OR x >= 971')} AS BIGINT) AS src, CAST({_bits('x >= 777')} AS BIGINT) AS dst FROM (SELECT {_RMAT} AS r FROM (SELECT unnest(range(16384)) AS id))")
 def rmat_edges(spark, d):
     return generate.rmat(spark, 12, 4, seed=1)
 
@@ -345,6 +379,20 @@ def ba_edges(spark, d):
     return generate.barabasi_albert(spark, 10, 8, seed=1)
 
 
+@query("SELECT CAST(1024 AS BIGINT) AS n_vertices, CAST(0 AS BIGINT) AS n_loops, CAST(0 AS BIGINT) AS n_repeats, CAST(0 AS BIGINT) AS n_one_way, true AS new_vertices_have_at_most_eight_older")
+def ba_check(spark, d):
+    """What holds for any seed of the preferential-attachment graph."""
+    e = generate.barabasi_albert(spark, 10, 8, seed=1).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    back = e.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(True).alias("back"))
+    older = e.where("dst < src and src >= 3").groupBy("src").agg(F.count("*").alias("c")).agg((F.max("c") <= 8).alias("new_vertices_have_at_most_eight_older"))
+    return e.join(back, ["src", "dst"], "left").agg(F.count_distinct("src").alias("n_vertices"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"), F.count_if(F.col("n") > 1).alias("n_repeats"), F.count_if(F.col("back").isNull()).alias("n_one_way")).join(F.broadcast(older))
+
+
+@query(f"WITH {_E1} SELECT src, dst FROM e")
+def edges_binary_roundtrip(spark, d):
+    return edge_files.decode_binary(edge_files.encode_binary(_edges(spark, d)))
+
+
 # --- vectors
 
 _V = "a AS (SELECT o_custkey AS key, count(*) AS value FROM orders WHERE o_orderstatus = 'P' GROUP BY 1), b AS (SELECT o_custkey AS key, count(*) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)"
@@ -385,6 +433,11 @@ def vec_apply(spark, d):
     return vectors.apply(*_vectors(spark, d))
 
 
+@query(f"WITH {_V} SELECT key, coalesce(b.value, a.value) AS value FROM a FULL JOIN b USING (key)")
+def update_visited(spark, d):
+    return graph.update(*_vectors(spark, d))
+
+
 @query(f"WITH {_V} SELECT a.key, a.value FROM a LEFT JOIN b USING (key) WHERE b.key IS NULL OR NOT (a.value >= b.value)")
 def vec_converged(spark, d):
     return vectors.not_converged(*_vectors(spark, d), lambda new, old: new >= old)
@@ -404,3 +457,49 @@ def encode_columns(spark, d):
 def encode_rejects(spark, d):
     lines = table(spark, d, "orders").select(F.concat_ws("|", "o_orderkey", "o_custkey").alias("line"))
     return columns.rejects(lines, "|", {"key": (0, "8"), "small": (1, "1")})
+
+
+# --- appends, metrics, streams
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def append_roundtrip(spark, d):
+    events, path = table(spark, d, "events").select("event_id", "user_id", "value"), scratch(spark, "appended")
+    for i in range(2):
+        columns.append(events.where(F.col("event_id") % 2 == i), path)
+    return spark.read.schema(events.schema).parquet(path)
+
+
+@query(f"WITH {_E1} SELECT count(*) AS n_edges, max(greatest(src, dst)) AS max_id FROM e")
+def observed_metrics(spark, d):
+    edges, seen = edge_files.observed(_edges(spark, d))
+    edges.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["n_edges"], seen.get["max_id"])], "n_edges bigint, max_id bigint")
+
+
+def _streamed(spark, d):
+    """The events as a stream over three appends."""
+    events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    path = scratch(spark, "events")
+    for i in range(3):
+        columns.append(events.where(F.col("event_id") % 3 == i), path)
+    return continuous.read_appends(spark, path, events.schema, files_per_trigger=64)
+
+
+def _last_rounds(spark, reduced, keys):
+    """Each key's value of the last round that changed it."""
+    path = scratch(spark, "rounds")
+    continuous.start(reduced, path, scratch(spark, "state")).awaitTermination()
+    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by("value", "round").alias("value"))
+
+
+@query("SELECT user_id AS key, round(sum(value), 4) AS value FROM events GROUP BY user_id")
+def stream_reduce(spark, d):
+    reduced = continuous.reduce_stream(_streamed(spark, d), F.col("user_id"), F.col("value"))
+    return _last_rounds(spark, reduced, ["key"]).withColumn("value", F.round("value", 4))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, user_id % 10 AS key, max(value) AS value FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    windows = continuous.windowed_reduce(_streamed(spark, d), "ts", F.col("user_id") % 10, F.col("value"), size="1 hour", late="36500 days", name="max")
+    return _last_rounds(spark, windows, ["start", "key"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
