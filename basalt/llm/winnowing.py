@@ -2,9 +2,10 @@
 
 Tokens are the words [^\\x20\\x09-\\x0D]+ of a text, those over PIECE characters cut into pieces. Every K consecutive tokens give a hash as the window
 rolls over them; of each WINDOW consecutive hashes the smallest is kept, of equal ones the rightmost, once for neighbouring windows. So any
-run of K + WINDOW - 1 tokens that two texts share gives them a common hash. A kept entry is one long: 40 bits of hash above 24 bits that count
-positions down, so that array_min breaks ties to the right by itself (positions of texts beyond 2**24 tokens wrap). The fingerprint string is the
-entries in order, 16 hexadecimal digits each.
+run of K + WINDOW - 1 tokens that two texts share gives them a common hash. While it is compared, an entry is one long: 40 bits of hash above BITS bits
+that count positions down, so that array_min breaks ties to the right by itself; texts of more tokens than that compare structs of the same hash and the
+position. The fingerprint string is the entries in order: ten hexadecimal digits of hash and six that count positions down, or, in texts
+with a position beyond 2**BITS, ten of hash and eight of position.
 
 Defined cases: a null text counts as empty and has the empty fingerprint; a text of fewer than K tokens has one hash of all its tokens, one of fewer
 than WINDOW hashes keeps their minimum; two empty fingerprints have likeness 1, an empty and another 0. In the order of documents null ids come
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from basalt.llm.store import staged
 
 K, WINDOW, PIECE = 3, 8, 24
-CELLS = 1024
-_LOW = (1 << 24) - 1
+CELLS, BITS = 1024, 24
+_LOW = (1 << BITS) - 1
 _NO_ID = -(1 << 63)
 
 
@@ -32,13 +33,13 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def entries(text: Column, k: int = K, window: int = WINDOW) -> Column:
-    """array<long>: the winnowed entries of a text."""
+def entries(text: Column, k: int = K, window: int = WINDOW, most: int = 1 << BITS) -> Column:
+    """array<struct<hash, at>>: the winnowed hashes of a text and their positions; most: the tokens of a text whose entries are compared as longs."""
     tokens = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]{1,%d}" % PIECE), F.lit(0))
     hashes = F.transform(tokens, lambda t: F.xxhash64(t))
 
-    def rolled(h: Column) -> Column:
-        gram = F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))).bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.lit(_LOW) - i.cast("long").bitwiseAND(F.lit(_LOW))))
+    def grams(h: Column, entry: Callable[[Column, Column], Column]) -> Column:
+        gram = F.transform(h, lambda x, i: entry(F.xxhash64(x, *(F.get(h, i + j) for j in range(1, k))), i.cast("long")))
         return F.slice(gram, F.lit(1), F.greatest(F.size(h) - (k - 1), F.least(F.size(h), F.lit(1))))
 
     def least(p: Column) -> Column:
@@ -48,17 +49,30 @@ def entries(text: Column, k: int = K, window: int = WINDOW) -> Column:
     def once(m: Column) -> Column:
         return F.filter(m, lambda x, i: x.isNotNull() & ((i == 0) | (x != F.get(m, i - 1))))
 
-    return bound(bound(bound(hashes, rolled), least), once)
+    def short(h: Column) -> Column:
+        packed = grams(h, lambda x, i: x.bitwiseAND(F.lit(~_LOW)).bitwiseOR(F.lit(_LOW) - i))
+        kept = bound(bound(packed, least), once)
+        return F.transform(kept, lambda x: F.struct(F.shiftrightunsigned(x, BITS).alias("hash"), (F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW))).alias("at")))
+
+    def long(h: Column) -> Column:
+        # signed, as the longs are compared
+        wide = grams(h, lambda x, i: F.struct(F.shiftright(x, BITS).alias("hash"), (-i).alias("back")))
+        kept = bound(bound(wide, least), once)
+        return F.transform(kept, lambda x: F.struct(x["hash"].bitwiseAND(F.lit((1 << 64 - BITS) - 1)).alias("hash"), (-x["back"]).alias("at")))
+
+    return bound(hashes, lambda h: F.when(F.size(h) <= most, short(h)).otherwise(long(h)))
 
 
 def fingerprint(kept: Column) -> Column:
     """The entries as a string."""
-    return F.array_join(F.transform(kept, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    six = F.transform(kept, lambda x: F.lower(F.lpad(F.hex(F.shiftleft(x["hash"], BITS).bitwiseOR(F.lit(_LOW) - x["at"])), 16, "0")))
+    eight = F.transform(kept, lambda x: F.lower(F.concat(F.lpad(F.hex(x["hash"]), 10, "0"), F.lpad(F.hex(x["at"]), 8, "0"))))
+    return F.array_join(F.when(F.exists(kept, lambda x: x["at"] > _LOW), eight).otherwise(six), "")
 
 
 def hashes(kept: Column) -> Column:
     """The distinct hashes of entries, positions aside."""
-    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, 24)))
+    return F.array_distinct(F.transform(kept, lambda x: x["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:

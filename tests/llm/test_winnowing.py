@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -37,24 +38,35 @@ def jaccard(a, b):
 
 
 def test_against_brute_force(spark, odd_docs, no_docs, sf):
-    docs = odd_docs.where("doc_id is null or doc_id not in (6)").select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id between 20 and 26").select("doc_id", "text"))
-    docs = docs.union(spark.createDataFrame([(50, "la " * 40), (51, "a b a b a b a b c " * 5)], "doc_id long, text string")).where("doc_id is not null and doc_id <> 9")
-    rows = sorted({(r["doc_id"], r["text"] or "") for r in docs.collect()})
-    got = Counter(tuple(r) for r in winnowing.edited_likeness(docs).collect())
-    seen = {r[0]: r for r in got}
-    for i, (doc, text) in enumerate(rows):
-        after = rows[(i + 1) % len(rows)][1]
+    docs = odd_docs.select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id between 20 and 24").select("doc_id", "text"))
+    docs = docs.union(spark.createDataFrame([(50, "la " * 40), (51, "a b a b a b a b c " * 5)], "doc_id long, text string"))
+    # null ids first, then ids, then a hash of the text whose lowest bit doesn't count
+    keys = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    rows = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, r["h"] >> 1, r["text"]) for r in keys})
+    want = {}
+    prints = {text: slow(spark, text) for text in {r[3] for r in rows}}
+    for i, (known, doc, _, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][3]
         m = len(text) // 2
         edited = text[: len(text) - m] + after[:m]
-        r = seen[doc]
-        assert r[1] == len(text) and r[2] == hashlib.sha256(edited.encode()).hexdigest()
-        mine, changed, other = slow(spark, text), slow(spark, edited), slow(spark, after)
-        assert split(r[3]) == mine and split(r[4]) == changed
-        assert abs(r[5] - jaccard(mine, changed)) < 1e-9 and abs(r[6] - jaccard(mine, other)) < 1e-9
-    assert sum(got.values()) == docs.count()
+        mine, changed, other = prints[text], slow(spark, edited), prints[after]
+        want[doc if known else None, text] = (doc if known else None, len(text), hashlib.sha256(edited.encode()).hexdigest(), mine, changed, round(jaccard(mine, changed), 9), round(jaccard(mine, other), 9))
+    expected = Counter(str(want[r["doc_id"], r["text"]]) for r in keys)
+    got = winnowing.edited_likeness(docs).collect()
+    assert Counter(str((*r[:3], split(r[3]), split(r[4]), round(r[5], 9), round(r[6], 9))) for r in got) == expected
     assert winnowing.edited_likeness(no_docs).count() == 0
 
 
+def test_texts_of_many_tokens(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab") * rng.randint(1, 2) for _ in range(n)) for n in (0, 1, 2, 3, 9, 10, 11, 40, 300)] + ["same " * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    short, wide = (df.select(winnowing.entries(F.col("text"), most=most).alias("e"), "text") for most in (1 << 24, 0))
+    assert [r["e"] for r in short.collect()] == [r["e"] for r in wide.collect()]
+    far = spark.createDataFrame([([(5, 1 << 25)],), ([((1 << 40) - 1, 3)],)], "e array<struct<hash long, at long>>")
+    assert [r[0] for r in far.select(winnowing.fingerprint(F.col("e"))).collect()] == ["000000000502000000", "ffffffffff" + "fffffc"]
+
+
 def test_shared_runs_are_found(spark):
     run = " ".join("r%d" % i for i in range(10))
     rows = [(i, " ".join("a%d_%d" % (i, j) for j in range(30)) + " " + run + " " + " ".join("b%d_%d" % (i, j) for j in range(i))) for i in range(12)]
