@@ -6,7 +6,8 @@ capacities finds the tightest open bin in logarithmic time, and equal documents
 exactly what one document after the other would give. It is a table of ranges whose size depends on CAPACITY alone, and each piece finds
 its place in it by its rank among the pieces of its length. Ranks come from counts by task of a written table.
 
-Defined cases: a null text counts as empty and packs as the end token alone; ids may be null or repeat, each row is packed; an empty table
+Defined cases: a null text counts as empty and packs as the end token alone; ids may be null or repeat, each row is packed; pieces of one length take their places by task and row;
+an empty table
 gives an empty result; documents over CAPACITY tokens are cut into full pieces and a last one that may be shorter; other columns are ignored.
 """
 

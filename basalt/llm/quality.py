@@ -5,7 +5,7 @@ sample. Scoring runs in Arrow batches over every text. A text's score is the mea
 feature vector is built.
 
 Defined cases: a null text counts as empty and has no words, so base rules reject it; a null id stays null; repeated rows get the
-same verdict each; an empty table gives an empty result; without labels of both classes the base rules alone decide; columns of
+same verdict each; a probability of exactly the threshold passes; an empty table gives an empty result; without labels of both classes the base rules alone decide; columns of
 other names pass through untouched, whatever they are called.
 """
 

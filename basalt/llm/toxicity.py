@@ -9,7 +9,7 @@ whose smoothed log odds in toxic against clean rows pass INDICATOR): their stems
 labelled documents with the smallest xxhash64(id), at most SAMPLE of them; scoring covers every whole text.
 
 Defined cases: a null or empty text has no features and severity of the intercepts alone; a null id stays null; repeated rows get the same score
-each; an empty table gives an empty result; without labels of both classes every severity is 0; other columns are ignored.
+each; a probability of exactly the threshold is toxic; an empty table gives an empty result; without labels of both classes every severity is 0; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,7 +1,11 @@
+import math
+from collections import Counter
+
 import numpy as np
 
 from basalt.llm import toxicity
 from basalt.llm.logistic import Rows
+from basalt.llm.textops import byte_hashes, mix
 
 
 def test_held_out_accuracy(spark):
@@ -36,3 +40,37 @@ def test_odd_tables(spark, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert len({r["p_toxic"] for r in rows if r["doc_id"] in (3, 4, 5)}) == 1
     assert toxicity.score(no_docs, some).count() == 0
+
+
+def bucket(word, salt):
+    h = byte_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))
+    return int(mix(h + np.uint64(salt))[0]) >> 64 - toxicity.BITS
+
+
+def slow_score(text, weights, thresholds):
+    """(expected severity, P(grade >= 1)) word by word, from a dict of weights."""
+    counts, marks = Counter(), b".,;:!?\"'()[]{}*#$%&|<>-_"
+    for word in (text or "").encode().split():
+        word = word.lower()
+        for _ in range(3):
+            word = word[1:] if word[:1] and word[0] in marks else word
+            word = word[:-1] if word[:1] and word[-1] in marks else word
+        if word:
+            counts[bucket(word, 0)] += 1
+            for salt, n in enumerate(toxicity.PREFIXES, 1):
+                if len(word) > n:
+                    counts[bucket(word[:n], salt)] += 1
+    z = sum(weights.get(b, 0.0) * math.log(1 + min(c, 3)) for b, c in counts.items())
+    p = [1 / (1 + math.exp(t - z)) for t in thresholds]
+    return sum(p), p[0]
+
+
+def test_scores_against_brute_force(spark, odd_docs):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    weights = {int(i): float(model.weights[i]) for i in np.flatnonzero(model.weights)}
+    both = docs.where("doc_id < 150").union(odd_docs.where("doc_id is null or doc_id <> 6").select("doc_id", "text"))
+    want = Counter((r["doc_id"], *(round(x, 4) for x in slow_score(r["text"], weights, model.thresholds.tolist()))) for r in both.collect())
+    got = Counter((r["doc_id"], round(r["expected_severity"], 4), round(r["p_toxic"], 4)) for r in toxicity.score(both, model).collect())
+    assert got == want and len({x[1] for x in want}) > 20
