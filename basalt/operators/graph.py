@@ -1,20 +1,25 @@
 """Vertex-centric graphs: supersteps, programs and the loops around them.
 
-Edges are a DataFrame (src, dst[, weight]). Loops deal the edges by source once and keep their state dealt by key, so a round moves the frontier and its
-messages only: state and edges stay where they are. State is checkpointed each round."""
+Edges are a DataFrame (src, dst[, weight]) or a stored adjacency index of them (see adjacency.py); loops build one where they are given a DataFrame. Edges and
+state lie in buckets by key, so a round moves the frontier's hubs and the messages only. State is a log of each round's changes (see runs.py), and what a round
+observed while it was written ends the loop. Rounds whose frontier is small read the buckets of its vertices only."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.reducers import reducer
 from basalt.operators import vectors
+from basalt.operators.adjacency import PROBE, Adjacency, adjacency
 from basalt.operators.ordering import running_total
-from basalt.session import cut, width
+from basalt.operators.runs import Runs
+from basalt.plans.metrics import seen_count
+from basalt.session import scratch
+from basalt.sources import bucketed, files
 
 DAMPING, PAGE_BYTES = 0.85, 8192
 
@@ -32,7 +37,7 @@ BFS = GraphProgram(lambda v, arg: v, "min")
 SSSP = GraphProgram(lambda v, arg: v + arg, "min", lambda new, old: new >= old)
 PAGERANK = GraphProgram(lambda v, outdeg: v / outdeg, "add")
 CONTRIBUTION = GraphProgram(lambda v, arg: v, "add")
-UPDATE = GraphProgram(lambda v, arg: v, "max")
+NULL = GraphProgram(lambda v, arg: F.lit(0).cast("bigint"), "min")
 
 
 def update(visited: DataFrame, found: DataFrame) -> DataFrame:
@@ -40,11 +45,6 @@ def update(visited: DataFrame, found: DataFrame) -> DataFrame:
     return vectors.union(found, visited)
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """df dealt and sorted by key and cut there, so that joins on the key don't move it again."""
-    return cut(df.repartition(width(df.sparkSession), key).sortWithinPartitions(key))
-
-
 def prepare(edges: DataFrame) -> DataFrame:
     """Distinct edges without self loops."""
     return edges.where("src <> dst").distinct()
@@ -82,38 +82,74 @@ def pages_touched(index: DataFrame, frontier: DataFrame, *, page: int = PAGE_BYT
     return active.select(F.explode(spans).alias("p")).agg(F.count_distinct("p").alias("n_pages"))
 
 
-def neighbours(edges: DataFrame, key: int) -> DataFrame:
-    """Out-neighbours of one vertex."""
-    return edges.where(F.col("src") == key).select("dst")
+def neighbours(edges: DataFrame | Adjacency, key: int) -> DataFrame:
+    """Out-neighbours of one vertex; an index reads that vertex's buckets only."""
+    return (edges.neighbours(key) if isinstance(edges, Adjacency) else edges.where(F.col("src") == key)).select("dst")
 
 
-def superstep(frontier: DataFrame, edges: DataFrame, program: GraphProgram, *, argument: str = "weight") -> DataFrame:
+def superstep(frontier: DataFrame, edges: DataFrame | Adjacency, program: GraphProgram, *, argument: str = "weight") -> DataFrame:
     """(key, value): messages along the out-edges of the frontier (key, value), reduced by destination.
 
-    argument is weight (1 where edges have none) or outdegree."""
-    if argument == "outdegree":
-        out = edges.join(degrees(edges).select(F.col("key").alias("src"), F.col("degree").alias("arg")), "src")
+    argument is weight (1 where edges have none) or outdegree; an index holds degrees, else they are counted."""
+    if isinstance(edges, Adjacency):
+        sent = edges.messages(frontier, program.edge, argument=argument)
     else:
-        out = edges.withColumn("arg", F.col("weight") if "weight" in edges.columns else F.lit(1).cast("bigint"))
-    sent = frontier.join(out, frontier["key"] == out["src"]).select(F.col("dst").alias("key"), program.edge(F.col("value"), F.col("arg")).alias("value"))
+        if argument == "outdegree":
+            out = edges.join(degrees(edges).select(F.col("key").alias("src"), F.col("degree").alias("arg")), "src")
+        else:
+            out = edges.withColumn("arg", F.col("weight") if "weight" in edges.columns else F.lit(1).cast("bigint"))
+        sent = frontier.join(out, frontier["key"] == out["src"]).select(F.col("dst").alias("key"), program.edge(F.col("value"), F.col("arg")).alias("value"))
     return sent.groupBy("key").agg(reducer(program.reduce, F.col("value")).alias("value"))
 
 
-def bfs(edges: DataFrame, source: int, *, parents: str = "min", until: int | None = None, max_levels: int = 10_000) -> DataFrame:
-    """(key, level, parent) of the vertices reached; of several parents the smallest or largest counts. The source is its own parent."""
-    spark = edges.sparkSession
-    edges = dealt(edges.select("src", "dst"), "src")
-    step = GraphProgram(lambda v, arg: v, parents)
-    visited = frontier = dealt(spark.createDataFrame([(source, 0, source)], "key bigint, level int, parent bigint"), "key")
-    for level in range(1, max_levels + 1):
-        if until is not None and not frontier.where(F.col("key") == until).isEmpty():
+@dataclass(frozen=True)
+class Round:
+    """What one superstep of a loop did: out-edges read, vertices that got messages, vertices that changed."""
+
+    number: int
+    edges: int
+    messages: int
+    changed: int
+
+
+def rounds_table(spark: SparkSession, rounds: list[Round]) -> DataFrame:
+    """(round, edges, messages, changed) of a loop's trace."""
+    return spark.createDataFrame([(r.number, r.edges, r.messages, r.changed) for r in rounds], "round int, edges bigint, messages bigint, changed bigint")
+
+
+def _loop(graph: Adjacency, state: Runs, program: GraphProgram, value: Callable[[DataFrame], DataFrame], changes: Callable[[DataFrame, int], DataFrame], most: int, trace: list[Round] | None, stop: Callable[[DataFrame], bool] | None = None) -> Runs:
+    """Rounds from the state's last run on until nothing changes: value makes the frontier (key, value), changes says what of the reduced messages is new."""
+    for number in range(1, most + 1):
+        front = state.last
+        if stop and stop(front.table):
             break
-        found = superstep(frontier.select("key", F.col("key").alias("value")), edges, step)
-        visited = cut(visited.join(found, "key", "full").select("key", F.coalesce("level", F.lit(level)).alias("level"), F.coalesce("parent", "value").alias("parent")))
-        frontier = visited.where(F.col("level") == level)
-        if frontier.isEmpty():
+        keys = [r["key"] for r in front.table.select("key").collect()] if front.n_rows <= PROBE else None
+        read, reduced = Observation(), Observation()
+        sent = graph.messages(value(front.table), program.edge, keys=keys).observe(read, F.count("*").alias("n"))
+        found = sent.groupBy("key").agg(reducer(program.reduce, F.col("value")).alias("value")).observe(reduced, F.count("*").alias("n"))
+        changed = state.append(changes(found, number))
+        if trace is not None:
+            trace.append(Round(number, seen_count(read), seen_count(reduced), changed))
+        if not changed:
             break
-    return visited
+    return state
+
+
+def _begin(spark: SparkSession, schema: str, *row: int) -> Runs:
+    first = spark.createDataFrame([row], schema)
+    state = Runs(spark, first.columns[1:])
+    state.append(first, dealt=False)
+    return state
+
+
+def bfs(edges: DataFrame | Adjacency, source: int, *, parents: str = "min", until: int | None = None, max_levels: int = 10_000, trace: list[Round] | None = None) -> DataFrame:
+    """(key, level, parent) of the vertices reached; of several parents the smallest or largest counts. The source is its own parent. trace gets each round."""
+    graph = adjacency(edges)
+    state = _begin(graph.edges.sparkSession, "key bigint, level int, parent bigint", source, 0, source)
+    step = GraphProgram(lambda v, arg: v, parents)
+    new = lambda found, level: state.without(found).select("key", F.lit(level).alias("level"), F.col("value").alias("parent"))
+    stop = None if until is None else lambda front: not front.where(F.col("key") == until).isEmpty()
+    return _loop(graph, state, step, lambda front: front.select("key", F.col("key").alias("value")), new, max_levels, trace, stop).table()
 
 
 def level_statistics(reached: DataFrame) -> DataFrame:
@@ -123,7 +159,7 @@ def level_statistics(reached: DataFrame) -> DataFrame:
 
 def level_report(edges: DataFrame, source: int, *, page: int = PAGE_BYTES, bytes_each: int = 8) -> DataFrame:
     """(level, frontier, visited, pages) of a search from source: new vertices, all so far, and pages of adjacency data that the level's vertices lie on."""
-    edges = dealt(edges.select("src", "dst"), "src")
+    edges = edges.select("src", "dst")
     reached = bfs(edges, source)
     index = csr(edges, width=bytes_each).where("degree > 0").select(F.col("id").alias("key"), "degree", "offset")
     spans = F.sequence(F.expr(f"offset div {page}"), F.expr(f"(offset + degree * {bytes_each} - 1) div {page}"))
@@ -148,18 +184,15 @@ def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
     return spark.createDataFrame(path, "step int, vertex bigint")
 
 
-def sssp(edges: DataFrame, source: int, *, max_rounds: int = 10_000) -> DataFrame:
-    """(key, value): least sums of weights from source, weights not negative; 1 each where edges have none."""
-    spark = edges.sparkSession
-    edges = dealt(edges.select("src", "dst", *(c for c in ("weight",) if c in edges.columns)), "src")
-    best = dealt(vectors.of_rows(spark, [(source, 0)]).withColumn("changed", F.lit(True)), "key")
-    for _ in range(max_rounds):
-        found = superstep(best.where("changed").select("key", "value"), edges, SSSP).withColumnRenamed("value", "new")
-        done = F.coalesce(F.col("new").isNull() | (F.col("value").isNotNull() & SSSP.converged(F.col("new"), F.col("value"))), F.lit(False))
-        best = cut(best.select("key", "value").join(found, "key", "full").select("key", F.least("value", "new").alias("value"), (~done).alias("changed")))
-        if best.where("changed").isEmpty():
-            break
-    return best.select("key", "value")
+def sssp(edges: DataFrame | Adjacency, source: int, *, max_rounds: int = 10_000, trace: list[Round] | None = None) -> DataFrame:
+    """(key, value): least sums of weights from source, weights not negative; 1 each where edges have none. trace gets each round."""
+    graph = adjacency(edges)
+    state = _begin(graph.edges.sparkSession, "key bigint, value bigint", source, 0)
+
+    def new(found: DataFrame, _: int) -> DataFrame:
+        return state.beside(found, "value").where(F.col("old").isNull() | ~SSSP.converged(F.col("value"), F.col("old")))
+
+    return _loop(graph, state, SSSP, lambda front: front, new, max_rounds, trace).table()
 
 
 def contribution_init(edges: DataFrame, n: int) -> DataFrame:
@@ -174,14 +207,18 @@ def contribution_step(vector: DataFrame, edges: DataFrame) -> DataFrame:
     return vectors.arith(got, degrees(edges), lambda v, d: v * DAMPING + F.when(d.isNull(), F.lit(0.0015)).otherwise(0.15 / d))
 
 
-def pagerank(edges: DataFrame, rounds: int = 10, *, damping: float = DAMPING) -> DataFrame:
+def pagerank(edges: DataFrame | Adjacency, rounds: int = 10, *, damping: float = DAMPING) -> DataFrame:
     """(key, value): rank = 1 - damping + damping * sum(rank / outdegree) for every vertex of the edges, from 1 each."""
-    out = dealt(edges.select("src", "dst").join(degrees(edges).select(F.col("key").alias("src"), F.col("degree").alias("arg")), "src"), "src")
-    vertices = dealt(edges.select(F.explode(F.array("src", "dst")).alias("key")).distinct(), "key")
-    ranks = vertices.withColumn("value", F.lit(1.0))
-    for i in range(rounds):
-        sent = ranks.join(out, ranks["key"] == out["src"]).groupBy(F.col("dst").alias("key")).agg(F.sum(PAGERANK.edge(F.col("value"), F.col("arg"))).alias("s"))
-        ranks = vertices.join(sent, "key", "left").select("key", (F.coalesce("s", F.lit(0.0)) * damping + (1 - damping)).alias("value"))
-        if i % 4 == 3:
-            ranks = cut(ranks)
+    graph = adjacency(edges)
+    n, path = graph.buckets, scratch(graph.edges.sparkSession, "ranks")
+    ends = graph.edges.select("src").union(graph.edges.select("dst")).groupBy(F.col("src").alias("key")).agg(F.lit(1.0).alias("value"))
+    ranks = start = bucketed.write(ends, f"{path}/0", "key", n)
+    kept = None
+    for i in range(1, rounds + 1):
+        sent = graph.messages(ranks, PAGERANK.edge, argument="outdegree").groupBy("key").agg(F.sum("value").alias("s"))
+        ranks = start.select("key").join(sent, "key", "left").select("key", (F.coalesce("s", F.lit(0.0)) * damping + (1 - damping)).alias("value"))
+        if i % 4 == 0 and i < rounds:
+            ranks, done, kept = bucketed.write(ranks, f"{path}/{i}", "key", n, dealt=True), kept, f"{path}/{i}"
+            if done:
+                files.delete(graph.edges.sparkSession, done)
     return ranks

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basalt.functions.predicates import BOTH, NEGATE_LEFT, NEGATE_RIGHT, WILDCARD, at_least, contains, contains_pair, in_range, outside, thresholds
 from basalt.operators import generate, graph, ordering, reduce, vectors
+from basalt.operators.adjacency import Adjacency
 from basalt.plans import q14
 from basalt.sources import columns, edges as edge_files
 from basalt.sources.tables import table
@@ -283,6 +284,39 @@ def edges_of_vertex(spark, d):
     return graph.neighbours(_edges(spark, d), 7)
 
 
+@query(f"WITH {_E1} SELECT src, dst FROM e WHERE src % 17 = 5 AND src < 17 * 20")
+def adjacency_lookup(spark, d):
+    """Twenty vertices of an index that was built, and opened again by its path."""
+    path = Adjacency.build(_edges(spark, d), scratch(spark, "adjacency")).path
+    return Adjacency.open(spark, path).neighbours(*range(5, 17 * 20, 17))
+
+
+@query("WITH e AS (SELECT DISTINCT vendor_id AS src, sale_id AS dst FROM sale_lines WHERE vendor_id IS NOT NULL AND sale_id IS NOT NULL) SELECT dst AS key, min(src + 1) AS value FROM e GROUP BY dst")
+def superstep_hubs(spark, d):
+    """Vendors' sales: a few vendors have a large part of all edges."""
+    edges = table(spark, d, "sale_lines").select(F.col("vendor_id").alias("src"), F.col("sale_id").alias("dst")).distinct()
+    index = Adjacency.build(edges)
+    return graph.superstep(index.degrees.select("key", F.col("key").alias("value")), index, graph.SSSP)
+
+
+@query(
+    f"""{_LEVELS}, o AS (SELECT l.level + 1 AS round, e.dst FROM l JOIN e ON e.src = l.key), c AS (SELECT level AS round, count(*) AS changed FROM l GROUP BY level),
+    m AS (SELECT round, count(*) AS edges, count(DISTINCT dst) AS messages FROM o GROUP BY round)
+    SELECT CAST(c.round + 1 AS INTEGER) AS round, coalesce(m.edges, 0) AS edges, coalesce(m.messages, 0) AS messages, coalesce(n.changed, 0) AS changed FROM c LEFT JOIN m ON m.round = c.round + 1 LEFT JOIN c n ON n.round = c.round + 1"""
+)
+def bfs_rounds(spark, d):
+    """What each superstep read, sent and changed, as its own write observed it."""
+    trace: list[graph.Round] = []
+    graph.bfs(_edges(spark, d), 0, trace=trace)
+    return graph.rounds_table(spark, trace)
+
+
+@query(f"WITH {_E1} SELECT DISTINCT dst AS key, CAST(0 AS BIGINT) AS value FROM e")
+def superstep_null(spark, d):
+    edges = _edges(spark, d)
+    return graph.superstep(edges.select(F.col("src").alias("key")).distinct().withColumn("value", F.col("key")), edges, graph.NULL)
+
+
 @query(f"WITH {_E1} SELECT dst AS key, min(src + 1 + (src + dst) % 7) AS value FROM e GROUP BY dst")
 def superstep_min(spark, d):
     edges = _weighted(spark, d)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: list[tuple[SparkSession, str]] = []
 ARROW_ROWS, _ARROW = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -36,7 +39,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset and all run in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="basalt-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -44,8 +47,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/basalt-{uuid.uuid4().hex[:12]}/{name}"
+    """A fresh path in the shared folder; it is deleted when the driver's Python ends."""
+    folder = f"{shared_root(spark)}/basalt-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, folder))
+    return f"{folder}/{name}"
+
+
+@atexit.register
+def _clean() -> None:
+    from basalt.sources import files
+
+    for spark, folder in _made:
+        try:
+            files.delete(spark, folder)
+        except Exception:  # noqa: BLE001  the session may be gone by now
+            return
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -263,13 +263,6 @@ def test_known_graph(spark):
     assert (len(far), sum(far), max(far)) == (1978, 27639, 28)
 
 
-def test_edges_stay_where_they_are(spark):
-    e = graph.dealt(spark.createDataFrame([(i, i + 1) for i in range(50)], "src bigint, dst bigint"), "src")
-    plan = graph.superstep(spark.range(5).selectExpr("id as key", "id as value"), e, graph.SSSP)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
-    scan = plan.split("Scan ExistingRDD")
-    assert len(scan) >= 2 and "hashpartitioning(src" not in plan
-
-
 def test_binary_files_split(spark, tmp_path):
     e = [(i, i * 3 % 97) for i in range(1000)]
     for width in (4, 8):
