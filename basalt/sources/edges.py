@@ -1,20 +1,10 @@
-"""Edge lists as text and as binary files."""
+"""Edge lists as text; binary files are in binary_edges.py."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "src bigint, dst bigint"
-SPLIT_BYTES = 64 << 20
-_PIECE = 100_000
-
 
 def parse_text(lines: DataFrame) -> DataFrame:
     """(src, dst) of lines 'from<spaces or tabs>to'; lines that don't parse are left out."""
@@ -40,54 +30,3 @@ def observed(edges: DataFrame, name: str = "edges") -> tuple[DataFrame, Observat
     """edges, and an observation that holds n_edges and max_id once an action has run."""
     seen = Observation(name)
     return edges.observe(seen, F.count("*").alias("n_edges"), F.max(F.greatest("src", "dst")).alias("max_id")), seen
-
-
-def decode_binary(files: DataFrame, *, width: int = 8) -> DataFrame:
-    """(src, dst) of files (content): little-endian unsigned pairs of 4 or 8 bytes each. A torn last pair is an error."""
-    kind = np.dtype(f"<u{width}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                ids = np.frombuffer(content.as_buffer(), kind).reshape(-1, 2)
-                for at in range(0, len(ids), 100_000):
-                    part = ids[at : at + 100_000].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["src", "dst"])
-
-    return files.select("content").mapInArrow(run, SCHEMA)
-
-
-def read_binary(spark: SparkSession, path: str, *, width: int = 8, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Binary edge files below path, in byte ranges of whole pairs, so that a large file is read by many tasks. A torn last pair is an error."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    step = max(1, split_bytes // (2 * width)) * 2 * width
-    ranges = files.where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(step))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.lit(step), F.col("length") - F.col("start")).alias("size"))
-    kind = np.dtype(f"<u{width}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uri, start, size in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                fs, name = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
-                with fs.open_input_file(name) as f:
-                    f.seek(start)
-                    while size:
-                        raw = f.read(min(size, _PIECE * 2 * width))
-                        size -= len(raw)
-                        ids = np.frombuffer(raw, kind).reshape(-1, 2).astype(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1])], names=["src", "dst"])
-
-    return ranges.repartition(max(1, min(20_000, ranges.count()))).mapInArrow(run, SCHEMA)
-
-
-def encode_binary(edges: DataFrame, *, width: int = 8, rows: int = 1 << 16) -> DataFrame:
-    """(content): blocks of pairs in the binary format."""
-    kind = np.dtype(f"<u{width}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1).astype(kind)
-            blocks = [pairs[at : at + rows].tobytes() for at in range(0, len(pairs), rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], names=["content"])
-
-    return edges.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint")).mapInArrow(run, "content binary")

@@ -184,10 +184,6 @@ def test_edge_files(spark, tmp_path):
     assert pairs(edge_files.read_text(spark, f"{tmp_path}/text")) == pairs(e)
     edge_files.write_text(e, f"{tmp_path}/once", dedup=True)
     assert edge_files.read_text(spark, f"{tmp_path}/once").count() == 2
-    assert pairs(edge_files.decode_binary(edge_files.encode_binary(e))) == pairs(e)
-    (tmp_path / "bin").mkdir()
-    (tmp_path / "bin" / "part").write_bytes(b"".join(x.to_bytes(4, "little") for x in (7, 8, 9, 10)))
-    assert pairs(edge_files.read_binary(spark, f"{tmp_path}/bin", width=4)) == [(7, 8), (9, 10)]
     assert edge_files.parse_text(spark.createDataFrame([("x y",), ("1 2",), ("",)], "line string")).count() == 1
     seen_edges, seen = edge_files.observed(e)
     seen_edges.count()
@@ -261,13 +257,3 @@ def test_known_graph(spark):
     assert [levels[i] for i in range(9)] == [1, 5, 19, 82, 314, 800, 637, 111, 9]
     far = [r["value"] for r in graph.sssp(e.withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 7), 0).collect()]
     assert (len(far), sum(far), max(far)) == (1978, 27639, 28)
-
-
-def test_binary_files_split(spark, tmp_path):
-    e = [(i, i * 3 % 97) for i in range(1000)]
-    for width in (4, 8):
-        raw = b"".join(a.to_bytes(width, "little") + b.to_bytes(width, "little") for a, b in e)
-        (tmp_path / f"w{width}").mkdir()
-        (tmp_path / f"w{width}" / "edges.bin").write_bytes(raw)
-        for split in (1, 16, 1000, 1 << 20):
-            assert pairs(edge_files.read_binary(spark, f"{tmp_path}/w{width}", width=width, split_bytes=split * (64 if split == 1 else 1))) == sorted(e)
