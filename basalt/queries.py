@@ -14,7 +14,7 @@ from basalt.plans import q14
 from basalt.sources import binary_edges, columns, edges as edge_files
 from basalt.sources.tables import table
 from basalt.session import scratch
-from basalt.streaming import continuous
+from basalt.streaming import continuous, merged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,13 +526,18 @@ def observed_metrics(spark, d):
     return spark.createDataFrame([(seen.get["n_edges"], seen.get["max_id"])], "n_edges bigint, max_id bigint")
 
 
-def _streamed(spark, d):
-    """The events as a stream over three appends."""
+def _append(spark, d, path, i):
+    """A third of the events, as four files."""
     events = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+    columns.append(events.where(F.col("event_id") % 3 == i).repartition(4), path)
+    return events.schema
+
+
+def _streamed(spark, d):
+    """The events as a stream over three appends, in three micro-batches at least."""
     path = scratch(spark, "events")
-    for i in range(3):
-        columns.append(events.where(F.col("event_id") % 3 == i), path)
-    return continuous.read_appends(spark, path, events.schema, files_per_trigger=64)
+    schema = [_append(spark, d, path, i) for i in range(3)][0]
+    return continuous.read_appends(spark, path, schema, files_per_trigger=4)
 
 
 def _last_rounds(spark, reduced, keys):
@@ -548,6 +553,26 @@ def stream_reduce(spark, d):
     return _last_rounds(spark, reduced, ["key"]).withColumn("value", F.round("value", 4))
 
 
+@query("SELECT user_id AS key, round(sum(value), 4) AS value FROM events GROUP BY user_id")
+def stream_merge(spark, d):
+    """Events appended while no query runs, merged in six micro-batches with a restart between them, the last one replayed."""
+    path, state = scratch(spark, "events"), scratch(spark, "state")
+    current = merged.MergedTable(spark, scratch(spark, "merged"))
+    for i in range(3):
+        stream = continuous.read_appends(spark, path, _append(spark, d, path, i), files_per_trigger=2)
+        merged.start(stream.select(F.col("user_id").alias("key"), "value"), current, state).awaitTermination()
+    current.merge(table(spark, d, "events").select(F.col("user_id").alias("key"), "value"), current.manifest()["batch"])
+    return current.table().withColumn("value", F.round("value", 4))
+
+
+@query("SELECT user_id AS key, max(value) AS value FROM events GROUP BY user_id")
+def stream_merge_max(spark, d):
+    """Another reducer over the same appends."""
+    current = merged.MergedTable(spark, scratch(spark, "merged"), "max")
+    merged.start(_streamed(spark, d).select(F.col("user_id").alias("key"), "value"), current, scratch(spark, "state")).awaitTermination()
+    return current.table()
+
+
 @query("SELECT date_trunc('hour', ts) AS start, user_id % 10 AS key, max(value) AS value FROM events GROUP BY 1, 2")
 def stream_windows(spark, d):
     windows = continuous.windowed_reduce(_streamed(spark, d), "ts", F.col("user_id") % 10, F.col("value"), size="1 hour", late="36500 days", name="max")
