@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.functions.predicates import BOTH, NEGATE_LEFT, NEGATE_RIGHT, WILDCARD, at_least, contains, contains_pair, in_range, outside, thresholds
-from basalt.operators import generate, graph, ordering, reduce, vectors
+from basalt.operators import generate, graph, ordering, reduce, stored_order, vectors
 from basalt.operators.adjacency import Adjacency
 from basalt.plans import q14
-from basalt.sources import binary_edges, columns, edges as edge_files
+from basalt.sources import binary_edges, columns, edges as edge_files, ingest
 from basalt.sources.tables import table
 from basalt.session import scratch
 from basalt.streaming import continuous, merged
@@ -213,6 +214,21 @@ def is_sorted_report(spark, d):
     return out
 
 
+@query(
+    " UNION ALL ".join(_LAG.format(c=c) for c in ("ts", "user_id", "value"))
+    + " UNION ALL SELECT 'sorted by ' || c, n, 0, n - k FROM (SELECT 'user_id' AS c, count(*) AS n, count(DISTINCT user_id) AS k FROM events UNION ALL SELECT 'value, event_id', count(*), count(*) FROM events)"
+)
+def stored_order_report(spark, d):
+    """The events as their file has them, and sorted copies."""
+    events = table(spark, d, "events")
+    out = [stored_order.report(events, c).select(F.lit(c).alias("name"), "*") for c in ("ts", "user_id", "value")]
+    for keys in (["user_id"], ["value", "event_id"]):
+        path = scratch(spark, "sorted")
+        events.select(*keys).orderBy(*keys).write.parquet(path)
+        out.append(stored_order.report(spark.read.parquet(path), *keys).select(F.lit("sorted by " + ", ".join(keys)).alias("name"), "*"))
+    return functools.reduce(DataFrame.union, out)
+
+
 # --- graphs
 
 _E1 = """e AS (SELECT DISTINCT l_partkey AS src, l_orderkey % (SELECT count(*) FROM part) AS dst FROM lineitem WHERE l_partkey <> l_orderkey % (SELECT count(*) FROM part))"""
@@ -508,6 +524,36 @@ def encode_rejects(spark, d):
     return columns.rejects(lines, "|", {"key": (0, "8"), "small": (1, "1")})
 
 
+def _ingested(spark, d):
+    """Orders as text files, some with a letter in a number and some cut short."""
+    path, day = scratch(spark, "lines"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    customer = F.concat(F.when(F.col("o_custkey") % 11 == 0, "x").otherwise(""), F.col("o_custkey"))
+    rest = F.when(F.col("o_orderkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("|"), F.col("o_orderstatus"), F.lit("|"), day))
+    table(spark, d, "orders").select(F.concat(F.col("o_orderkey"), F.lit("|"), customer, rest).alias("line")).write.text(path)
+    return ingest.ingest(spark, path, scratch(spark, "ingested"), "|", {"o_orderkey": (0, "8"), "o_custkey": (1, "4"), "o_orderstatus": (2, "V"), "o_orderdate": (3, "D")})
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE o_custkey % 11 <> 0 AND o_orderkey % 7 <> 0")
+def ingest_accepted(spark, d):
+    return _ingested(spark, d).accepted
+
+
+@query(
+    """SELECT o_orderkey || '|' || CASE WHEN o_custkey % 11 = 0 THEN 'x' ELSE '' END || o_custkey || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '|' || o_orderstatus || '|' || strftime(o_orderdate, '%Y-%m-%d') END AS line,
+    CASE WHEN o_custkey % 11 = 0 AND o_orderkey % 7 = 0 THEN 'o_custkey,o_orderstatus,o_orderdate' WHEN o_custkey % 11 = 0 THEN 'o_custkey' ELSE 'o_orderstatus,o_orderdate' END AS at_fault
+    FROM orders WHERE o_custkey % 11 = 0 OR o_orderkey % 7 = 0"""
+)
+def ingest_rejected(spark, d):
+    return _ingested(spark, d).rejected.select("line", F.array_join("at_fault", ",").alias("at_fault"))
+
+
+@query("SELECT count(*) FILTER (WHERE o_custkey % 11 <> 0 AND o_orderkey % 7 <> 0) AS n_accepted, count(*) FILTER (WHERE o_custkey % 11 = 0 OR o_orderkey % 7 = 0) AS n_rejected FROM orders")
+def ingest_counts(spark, d):
+    """As the one pass observed them."""
+    got = _ingested(spark, d)
+    return spark.createDataFrame([(got.n_accepted, got.n_rejected)], "n_accepted bigint, n_rejected bigint")
+
+
 # --- appends, metrics, streams
 
 
