@@ -16,6 +16,7 @@ from basalt.functions.reducers import reducer
 from basalt.operators import vectors
 from basalt.operators.adjacency import PROBE, Adjacency, adjacency
 from basalt.operators.ordering import running_total
+from basalt.operators.paths import shortest_paths
 from basalt.operators.runs import Runs
 from basalt.plans.metrics import seen_count
 from basalt.session import scratch
@@ -170,18 +171,11 @@ def level_report(edges: DataFrame, source: int, *, page: int = PAGE_BYTES, bytes
     return levels.join(pages, "level", "left").select("level", "frontier", "visited", F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
-def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
+def shortest_path(edges: DataFrame | Adjacency, source: int, target: int) -> DataFrame:
     """(step, vertex) from the target's parent back to the source, by largest parents; no rows if there is no path, the source alone if both are one."""
-    spark = edges.sparkSession
-    reached = bfs(edges, source, parents="max", until=target)
-    row = reached.where(F.col("key") == target).first()
-    path = []
-    while row is not None:  # one lookup for each hop of the path
-        path.append((len(path), row["parent"]))
-        if row["parent"] == source:
-            break
-        row = reached.where((F.col("key") == row["parent"]) & (F.col("level") == row["level"] - 1)).first()
-    return spark.createDataFrame(path, "step int, vertex bigint")
+    graph = adjacency(edges)
+    asked = graph.edges.sparkSession.createDataFrame([(0, source, target)], "search bigint, source bigint, target bigint")
+    return shortest_paths(graph, asked).select("step", "vertex")
 
 
 def sssp(edges: DataFrame | Adjacency, source: int, *, max_rounds: int = 10_000, trace: list[Round] | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basalt.functions import binary
 from basalt.functions.predicates import BOTH, NEGATE_LEFT, NEGATE_RIGHT, WILDCARD, at_least, contains, contains_pair, in_range, outside, thresholds
-from basalt.operators import generate, graph, ordering, reduce, stored_order, vectors
+from basalt.operators import generate, graph, ordering, paths, reduce, stored_order, vectors
 from basalt.operators.adjacency import Adjacency
 from basalt.plans import q14
 from basalt.sources import binary_edges, columns, edges as edge_files, ingest
@@ -229,6 +230,20 @@ def stored_order_report(spark, d):
     return functools.reduce(DataFrame.union, out)
 
 
+@query("SELECT l_partkey AS key, list_reduce(list(l_orderkey), lambda a, b: gcd(a, b)) AS value FROM lineitem GROUP BY l_partkey")
+def reduce_gcd(spark, d):
+    """A reducer that Spark lacks, given as a function of two values."""
+    binary.check_laws(binary.GCD, binary.small_values())
+    return binary.reduce_by_key(table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("value")), binary.GCD)
+
+
+@query("SELECT user_id AS key, round(ln(sum(exp(value / 100))), 6) AS value FROM events GROUP BY user_id")
+def reduce_log_sum(spark, d):
+    """Sums of exponentials, kept as logarithms."""
+    kv = table(spark, d, "events").select(F.col("user_id").alias("key"), (F.col("value") / 100).alias("value"))
+    return binary.reduce_by_key(kv, binary.LOG_SUM).withColumn("value", F.round("value", 6))
+
+
 # --- graphs
 
 _E1 = """e AS (SELECT DISTINCT l_partkey AS src, l_orderkey % (SELECT count(*) FROM part) AS dst FROM lineitem WHERE l_partkey <> l_orderkey % (SELECT count(*) FROM part))"""
@@ -382,6 +397,23 @@ def shortest_path(spark, d):
     return graph.shortest_path(_edges(spark, d), 0, 1001)
 
 
+_SEARCHES = "q(search, source, target) AS (SELECT i, (i * 37) % n, (i * 101 + 5) % n FROM (SELECT unnest(range(30)) AS i), (SELECT count(*) AS n FROM part))"
+
+
+@query(
+    f"""WITH RECURSIVE {_E1}, {_SEARCHES}, r(search, key, level) AS (SELECT search, source, 0 FROM q UNION SELECT search, dst, level + 1 FROM r JOIN e ON src = key WHERE level < 8),
+    l AS (SELECT search, key, min(level) AS level FROM r GROUP BY search, key),
+    b AS (SELECT c.search, c.key, CASE WHEN c.level = 0 THEN c.key ELSE max(p.key) END AS parent FROM l c LEFT JOIN e ON e.dst = c.key LEFT JOIN l p ON p.key = e.src AND p.search = c.search AND p.level = c.level - 1 GROUP BY c.search, c.key, c.level),
+    s(search, step, vertex, source) AS (SELECT q.search, 0, parent, source FROM b JOIN q ON q.search = b.search AND key = target UNION ALL SELECT s.search, step + 1, parent, source FROM s JOIN b ON b.search = s.search AND key = vertex WHERE vertex <> source)
+    SELECT search, step, vertex FROM s"""
+)
+def shortest_paths_30(spark, d):
+    """Thirty searches in one loop."""
+    n = table(spark, d, "part").count()
+    asked = spark.range(30).select(F.col("id").alias("search"), (F.col("id") * 37 % n).alias("source"), ((F.col("id") * 101 + 5) % n).alias("target"))
+    return paths.shortest_paths(_edges(spark, d), asked)
+
+
 @query(f"{_LEVELS} SELECT key, CAST(level AS BIGINT) AS value FROM l")
 def sssp_hops(spark, d):
     return graph.sssp(_edges(spark, d), 0)
