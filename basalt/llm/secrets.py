@@ -6,7 +6,8 @@ is no candidate and stays: shorter runs, passwords of other characters or of sev
 of PEM blocks are runs like others. The features are a candidate's length, character transitions, dictionary coverage, path-like
 surroundings and the words beside it. The forest is trained on labelled findings (by default those of labelled_findings(), which are generated from a fixed
 seed: the tables hold no labels for secrets) and is compiled to a SQL expression, so scanning needs no Python. Each text's candidates stay in its row: no
-shuffle, and a document of any length or a source of any share is just rows.
+shuffle, and a document of any length or a source of any share is just rows. In words of more than FRAME characters, what stands before and around a candidate is read from the
+PIECES runs and gaps it is cut with and SIDE characters on either side, so the work grows with a word's length, not with its square.
 
 Defined cases: a null or empty text has no candidates; null ids stay null; repeated rows are scanned each; a secret that stands more than once is
 found each time, at its own place; a probability of exactly the threshold is a secret; an empty table gives an empty result; redact() returns exactly the
@@ -25,7 +26,8 @@ from basalt.llm.forest import Node, fit_forest, to_sql
 
 TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 RUN = r"[A-Za-z0-9+/_-]{8,}={0,2}"
-LONG = 16
+TILE = r"[A-Za-z0-9+/_-]+={0,2}|[^A-Za-z0-9+/_-]+"
+LONG, FRAME, PIECES, SIDE = 16, 1024, 64, 128
 LIKELY = r"[0-9]|[A-Z]{12}|([a-z][A-Z].*){3}"
 THRESHOLD = 0.5
 MASK = "[secret]"
@@ -193,6 +195,28 @@ def cores(word: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(word, F.lit(RUN), F.lit(0)), start, step, lambda held: held["found"])
 
 
+def frames(word: Column) -> Column:
+    """array<struct<text, base, lead, trail>>: a word of up to FRAME characters as it is, a longer one in pieces of PIECES runs and gaps each; base counts the characters before,
+    lead and trail are up to SIDE of those beside it."""
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    whole = F.array(F.struct(word.alias("text"), F.lit(0).alias("base"), F.lit("").alias("lead"), F.lit("").alias("trail")))
+
+    def cut(tiles: Column) -> Column:
+        last = F.ceil(F.size(tiles) / PIECES).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.array_join(F.slice(tiles, b * PIECES + 1, F.lit(PIECES)), ""))
+
+    def placed(texts: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+        step = lambda held, t: F.struct((held["end"] + F.length(t)).alias("end"), F.concat(held["at"], F.array(held["end"])).alias("at"))
+        return F.struct(texts.alias("texts"), F.aggregate(texts, begin, step, lambda held: held["at"]).alias("at"))
+
+    def framed(held: Column) -> Column:
+        beside = lambda i, side: F.coalesce(side(F.get(held["texts"], i), F.lit(SIDE)), F.lit(""))
+        return F.transform(held["texts"], lambda t, i: F.struct(t.alias("text"), F.get(held["at"], i).alias("base"), beside(i - 1, F.right).alias("lead"), beside(i + 1, F.left).alias("trail")))
+
+    return F.when(F.length(word) <= FRAME, whole).otherwise(once(once(once(F.regexp_extract_all(word, F.lit(TILE), F.lit(0)), cut), placed), framed))
+
+
 def is_candidate(core: Column, left: Column, before: Column) -> Column:
     """left: what stands before the core in its word; before: the two words before that."""
     return ((F.length(core) >= LONG) & core.rlike(LIKELY)) | F.concat(before, F.lit(" "), left).rlike(ASSIGNED)
@@ -200,16 +224,15 @@ def is_candidate(core: Column, left: Column, before: Column) -> Column:
 
 def scan(docs: DataFrame, forest: list[Node], *, text_col: str = "text", into: str = "findings", threshold: float = THRESHOLD) -> DataFrame:
     """docs with an array of findings struct<word_at, start, secret, probability, is_secret>; start counts characters from 0."""
-    made = lambda c, x: F.struct(*(v.cast("double").alias(k) for k, v in feature_columns(x["core"], c["word"], c["before"], c["after"]).items()))
-    each = F.flatten(
-        F.transform(
-            F.col("_cand"),
-            lambda c: F.transform(
-                F.filter(cores(c["word"]), lambda x: is_candidate(x["core"], F.substring(c["word"], F.lit(1), x["place"] - 1), c["before"])),
-                lambda x: F.struct(c["at"].alias("at"), (c["start"] + x["place"] - 1).alias("start"), x["core"].alias("core"), made(c, x).alias("f")),
-            ),
-        )
-    )
+    made = lambda c, x, near: F.struct(*(v.cast("double").alias(k) for k, v in feature_columns(x["core"], near, c["before"], c["after"]).items()))
+
+    def in_frame(c: Column, f: Column) -> Column:
+        left = lambda x: F.concat(f["lead"], F.substring(f["text"], F.lit(1), x["place"] - 1))
+        likely = F.filter(cores(f["text"]), lambda x: is_candidate(x["core"], left(x), c["before"]))
+        near = F.concat(f["lead"], f["text"], f["trail"])
+        return F.transform(likely, lambda x: F.struct(c["at"].alias("at"), (c["start"] + f["base"] + x["place"] - 1).alias("start"), x["core"].alias("core"), made(c, x, near).alias("f")))
+
+    each = F.flatten(F.flatten(F.transform(F.col("_cand"), lambda c: F.transform(frames(c["word"]), lambda f: in_frame(c, f)))))
     found = docs.withColumn("_cand", candidates(F.col(text_col))).withColumn("_each", each)
     scored = F.expr(f"transform(_each, e -> struct(e.at AS at, e.start AS start, e.core AS core, element_at(transform(array(e.f), _f -> {to_sql(forest, [f'_f.{k}' for k in FEATURES])}), 1) AS p))")
     out = found.withColumn("_scored", scored)
@@ -228,7 +251,7 @@ def redact(docs: DataFrame, forest: list[Node], *, text_col: str = "text", count
     """docs with every secret in the text replaced by mask; count_col, where docs has it and the text changed, is set to the new length."""
     # the input's row is one struct, so its column names cannot clash with ours
     rows = scan(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text")), forest, text_col="_text", into="_found", threshold=threshold)
-    secrets = F.array_sort(F.transform(F.filter("_found", lambda x: x["is_secret"]), lambda x: F.struct((-F.length(x["secret"])).alias("o"), x["secret"].alias("s"))))
+    secrets = F.array_sort(F.array_distinct(F.transform(F.filter("_found", lambda x: x["is_secret"]), lambda x: F.struct((-F.length(x["secret"])).alias("o"), x["secret"].alias("s")))))
     clean = rows.select("_doc", "_text", F.aggregate(secrets, F.col("_text"), lambda t, x: F.replace(t, x["s"], F.lit(mask))).alias("_clean"))
     out = {c: F.col("_doc")[c] for c in docs.columns} | {text_col: F.col("_clean")}
     if count_col in docs.columns:

@@ -1,5 +1,7 @@
+import random
 import re
 import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -124,3 +126,43 @@ def test_held_out_findings(spark):
     held = scored.toPandas()
     assert ((held["p"] >= 0.5) == (held["label"] == 1)).mean() > 0.93
     assert np.allclose(forest.predict(model, held[list(secrets.FEATURES)].to_numpy(float)), held["p"])
+
+
+def test_long_words_cost_what_they_are_long(spark):
+    rng = random.Random(12)
+    some = lambda k: "".join(rng.choice("abcdef0123456789ABCDEFXYZ") for _ in range(k))
+
+    def script(runs):
+        """One word of runs, as minified scripts have them, and where its planted tokens are."""
+        parts, at, want = [], 0, []
+        for i in range(runs):
+            part = f'token="{some(40)}";' if i % 500 == 7 else f"{some(rng.randint(8, 12))}={some(rng.randint(3, 18))};"
+            if part.startswith("token"):
+                want.append((at + 7, part[7:47]))
+            parts.append(part)
+            at += len(part)
+        return "".join(parts), want
+
+    forest, took = secrets.train(spark), {}
+    for runs in (500, 15_000, 30_000, 60_000):
+        text, want = script(runs)
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        found = secrets.findings(docs, forest).collect()
+        took[len(text)] = time.time() - began
+        assert {(r["start"], r["secret"]) for r in found} >= set(want)
+        assert all(text[r["start"] : r["start"] + r["length"]] == r["secret"] for r in found)
+    (a, t), (b, u) = list(took.items())[-2:]
+    assert b > 1_000_000 and u < 2.6 * t and u < 90, took
+
+
+def test_frames_do_not_change_what_is_found(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["a1B2c3D4", "passwd=", "://", "abcdefghij", "=", "é", ".", "Xy", "0123456789abcdef"]) for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, text string")
+    places = lambda: {(r["doc_id"], r["start"], r["secret"]) for r in secrets.findings(docs, secrets.train(spark)).collect()}
+    monkeypatch.setattr(secrets, "FRAME", 10**6)
+    whole = places()
+    monkeypatch.setattr(secrets, "FRAME", 40)
+    monkeypatch.setattr(secrets, "PIECES", 3)
+    assert places() == whole and len(whole) > 100
