@@ -5,11 +5,14 @@ size and the excess is shared again by weight. A source's documents are taken wh
 fitted by length: documents are counted by exact length, and bounded-knapsack dynamic programming finds how many of each length come nearest
 to the budget without passing it. Which documents of a length are taken follows a seeded hash of their ids and texts.
 
-fit() is exact. So that documents of all lengths are taken, a proportional part of each count is set aside first, and the program fills the rest, MARGIN
-times the longest document; a rest that is filled to the last word can't be beaten. If it can't be filled, the rest grows eightfold, three times at most. Then
-budgets of up to about four times the square of the longest length are solved whole. For larger ones the longest documents are taken first, which solves the relaxed problem at a vertex; by the
-proximity theorem of Eisenbrand and Weismantel (one constraint, coefficients up to d) a best solution differs from that in at most 2 d + 1 documents, so
-those are all that the program has to give back and add. The time and memory of these last steps follow the longest document, not the corpus.
+fit() keeps to tables of CELLS sums. So that documents of all lengths are taken, a proportional part of each count is set aside first, and the program fills the rest,
+MARGIN times the longest document; a rest that is filled to the last word can't be beaten. If it can't be filled, the rest grows eightfold, three times at most. Budgets
+of up to CELLS words are then solved whole. For larger ones one length is the pivot: whatever the others make, the pivot's documents fill all but a
+remainder modulo its length. So the program finds, for each remainder, the least number of the other documents to add or give back that makes it, in memory
+that follows the pivot's length alone; as least numbers stay below that length (of more documents, some would make no difference), the pivot has enough
+documents to go along where it has about twice as many as the longest length has words, and often with far fewer, which is checked on the answer. That is exact. Only where no length can
+be such a pivot, the sums around the longest-first choice are tried: by the proximity theorem of Eisenbrand and Weismantel (one constraint, coefficients up to d) a
+best solution is within 2 d + 1 documents of it. Beyond CELLS sums that is left out, and the best that a pivot found is taken, which then may not be the largest sum.
 
 Up to MAX_SOURCES sources are weighed on the driver; more of them by rounds of aggregates, with the same result.
 
@@ -21,7 +24,7 @@ mixed(); an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import gcd
+from math import gcd, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,7 @@ MAX_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 MARGIN, WIDER = 8, (1, 8, 64)
 _SALT_BITS, _SOURCE_SALTS = 10, 16
+CELLS, PIVOTS, _BLOCK = 1 << 24, 6, 128
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> list[float]:
@@ -130,6 +134,69 @@ def _near_vertex(lengths: list[int], counts: list[int], budget: int) -> list[int
     return [k - x + y for k, x, y in zip(take, minus, plus, strict=True)]
 
 
+def _changes(others: list[int], lengths: list[int], base: list[int], counts: list[int], modulus: int) -> list[tuple[int, int, int]]:
+    """(length's place, documents added or, below 0, given back, what that adds modulo modulus), each to be used once or not."""
+    out = []
+    for i in others:
+        for sign, room in ((1, counts[i] - base[i]), (-1, base[i])):
+            out += [(i, sign * k, sign * k * lengths[i] % modulus) for k in _binary(min(room, modulus))]
+    return out
+
+
+def _cheaper(least: np.ndarray, change: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The least numbers of documents once a change may be used, and for which remainders it is."""
+    tried = np.roll(least, change[2]) + abs(change[1])
+    used = tried < least
+    return np.where(used, tried, least), used
+
+
+def _by_remainders(p: int, lengths: list[int], counts: list[int], budget: int) -> tuple[int, list[int], bool]:
+    """(words missed, how many of each, whether nothing better exists) with length p as the pivot."""
+    others, size = [i for i in range(len(lengths)) if i != p], lengths[p]
+    total = sum(lengths[i] * counts[i] for i in others)
+    low, high = max(0, budget - size * counts[p]), min(total, budget)
+    base, gap = [0] * len(lengths), (low + high) // 2
+    for i in others:
+        base[i] = counts[i] * ((low + high) // 2) // total if total else 0
+        gap -= base[i] * lengths[i]
+    for i in others:
+        more = min(counts[i] - base[i], max(0, gap) // lengths[i])
+        base[i], gap = base[i] + more, gap - more * lengths[i]
+    made = sum(lengths[i] * base[i] for i in others)
+    far = np.iinfo(np.int32).max // 4
+    least = np.full(size, far, np.int32)
+    least[0] = 0
+    changes, kept, wanted = _changes(others, lengths, base, counts, size), [], (budget - made) % size
+    block = max(_BLOCK, isqrt(len(changes)))
+    for at in range(0, len(changes), block):
+        if least[wanted] < far and int(least[wanted]) * max(lengths) < min(made - low, budget - made):
+            changes = changes[:at]
+            break
+        kept.append(least)
+        for change in changes[at : at + block]:
+            least, _ = _cheaper(least, change)
+    missed = (wanted - np.arange(size)) % size
+    at = int(np.argmin(np.where(least < far, missed, size)))
+    left, take = int(missed[at]), list(base)
+    for number in range(len(kept) - 1, -1, -1):  # blocks are run again for their choices, so that few are held
+        least, part, marks = kept[number], changes[number * block : (number + 1) * block], []
+        for change in part:
+            least, used = _cheaper(least, change)
+            marks.append(used)
+        for change, used in zip(reversed(part), reversed(marks), strict=True):
+            if used[at]:
+                take[change[0]] += change[1]
+                at = (at - change[2]) % size
+    made = sum(lengths[i] * take[i] for i in others)
+    take[p] = (budget - made - left) // size
+    if 0 <= take[p] <= counts[p]:
+        return left, take, True
+    take = list(base)
+    take[p] = max(0, min(counts[p], (budget - sum(lengths[i] * base[i] for i in others)) // size))
+    missed = budget - sum(n * k for n, k in zip(lengths, take, strict=True))
+    return missed, take, missed == left
+
+
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length (at least 1) to take so that their sum is the largest that isn't above budget."""
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
@@ -142,14 +209,23 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     longest = max(lengths)
     for wider in WIDER:
         rest = MARGIN * wider * longest
-        if rest >= budget:
-            return _filled(lengths, counts, [0] * len(lengths), budget)[1]
+        if rest >= budget or rest > CELLS:
+            break
         missed, take = _filled(lengths, counts, _set_aside(lengths, counts, budget, rest), budget)
         if not missed:
             return take
-    if budget <= 4 * longest * (longest + 1):
+    if budget <= CELLS:
         return _filled(lengths, counts, [0] * len(lengths), budget)[1]
-    return _near_vertex(lengths, counts, budget)
+    best: tuple[int, list[int]] | None = None
+    for p in sorted(range(len(lengths)), key=lambda i: (-counts[i], lengths[i]))[:PIVOTS]:
+        missed, take, proven = _by_remainders(p, lengths, counts, budget)
+        if proven:
+            return take
+        if best is None or missed < best[0]:
+            best = missed, take
+    if (2 * longest + 2) * longest <= CELLS:
+        return _near_vertex(lengths, counts, budget)
+    return best[1]
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: int = SEED) -> DataFrame:

@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,51 @@ def test_fit_of_hard_and_large_budgets():
         assert worth(lengths, counts, mixing.fit(lengths, counts, budget)) == best
 
 
+def test_pivots_that_say_they_are_right_are(monkeypatch):
+    monkeypatch.setattr(mixing, "_BLOCK", 2)
+    rng, proven = random.Random(8), 0
+    for _ in range(1500):
+        lengths = rng.sample(range(1, rng.choice([8, 30, 60])), rng.randint(1, 5))
+        counts = [rng.randint(1, rng.choice([3, 40])) for _ in lengths]
+        total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+        budget = rng.randint(1, max(1, total - 1))
+        for p in range(len(lengths)):
+            missed, take, sure = mixing._by_remainders(p, lengths, counts, budget)
+            assert worth(lengths, counts, take) == budget - missed <= budget
+            if sure:
+                assert budget - missed == best_sum(lengths, counts, budget)
+            proven += sure
+    assert proven > 3000
+
+
+def two(lengths, counts, budget):
+    """The best sum of two lengths, by trying every number of the second."""
+    second = np.arange(counts[1] + 1, dtype=np.int64) * lengths[1]
+    second = second[second <= budget]
+    return int((second + np.minimum(counts[0], (budget - second) // lengths[0]) * lengths[0]).max())
+
+
+@pytest.mark.parametrize(("lengths", "counts", "budget"), [([19_997, 20_000], [30_000, 30_000], 600_000_001), ([20_000, 1], [900_000, 3], 10**10 + 7), ([199_997, 200_000], [300_000, 300_000], 10**11 - 1), ([199_990, 200_000], [200_000, 400_000], 5 * 10**10 + 3), ([150_001, 200_000], [9, 500_000], 7 * 10**10 + 1), ([19_997, 20_000], [900, 1100], 20_000_011)])
+def test_long_documents_fit_in_little_memory(lengths, counts, budget):
+    tracemalloc.start()
+    take = mixing.fit(lengths, counts, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert worth(lengths, counts, take) == two(lengths, counts, budget) and peak < 500 << 20
+
+
+def test_many_long_lengths_fit_in_little_memory():
+    rng = random.Random(2)
+    lengths = rng.sample(range(100_000, 200_000), 400)
+    counts = [rng.randint(1, 2000) for _ in lengths]
+    budget = sum(n * c for n, c in zip(lengths, counts, strict=True)) * 5 // 7
+    tracemalloc.start()
+    take = mixing.fit(lengths, counts, budget)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert worth(lengths, counts, take) == budget and peak < 500 << 20
+
+
 def test_mix(spark, odd_docs, no_docs, sf):
     docs = odd_docs.select("doc_id", "text", "source").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source"))
     rows = mixing.mix(docs).collect()
