@@ -474,11 +474,11 @@ def ba_check(spark, d):
 
 @query(f"WITH {_E1} SELECT src, dst FROM e")
 def edges_binary_roundtrip(spark, d):
-    """Written as files by several tasks, in two writes, and read in byte ranges of 4 KB."""
+    """Written as files by several tasks, in two writes, and read in byte ranges of 64 KB."""
     path, edges = scratch(spark, "binary"), _edges(spark, d)
     for part in ("src % 3 = 0", "src % 3 <> 0"):
         binary_edges.write(edges.where(part), path, width=4)
-    return binary_edges.read(spark, path, width=4, split_bytes=4096)
+    return binary_edges.read(spark, path, width=4, split_bytes=1 << 16)
 
 
 @query(f"WITH {_E1} SELECT count(*) AS n_edges, max(greatest(src, dst)) AS max_id FROM e")
