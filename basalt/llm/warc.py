@@ -29,13 +29,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.llm.store import staged
 
 MIN_REVISIT, SPLIT_BYTES, DATE = 1000, 8 << 20, "1970-01-01T00:00:00Z"
-MAX_BROADCAST_ROWS = 20_000
+MAX_BROADCAST_ROWS, HOT_SHARE = 20_000, 1000
 MAGIC = b"\x1f\x8b\x08"
 _PIECE = 1 << 18
 _URN = "urn:page:"
@@ -51,11 +51,26 @@ def with_types(pages: DataFrame, *, id_col: str, payload_col: str, url_col: str,
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     keyed = rows.withColumn("same", F.when(F.octet_length("payload") >= min_bytes, F.sha2("payload", 256)))
-    groups = keyed.where("same is not null").groupBy("same").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("same", "first")
+    groups = keyed.where("same is not null").groupBy("same").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     groups = staged(groups, "copies")
-    if groups.count() <= MAX_BROADCAST_ROWS:
-        groups = F.broadcast(groups)  # its size was just counted; a larger one is joined by a shuffle
-    return keyed.join(groups, "same", "left").select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    facts = groups.agg(F.count("*").alias("groups"), F.sum("n").alias("rows")).first()
+    if facts["groups"] <= MAX_BROADCAST_ROWS:
+        return _referring(keyed, F.broadcast(groups))  # its size was just counted
+    # fewer than HOT_SHARE groups can hold more than 1 / HOT_SHARE of all copies; the others are joined by a shuffle, in which no key is hot
+    limit = facts["rows"] // HOT_SHARE
+    hot = F.broadcast(groups.where(F.col("n") > limit))
+    marked = keyed.join(hot.select(F.col("same").alias("hot"), F.col("first").alias("hot_first")), F.col("same") == F.col("hot"), "left")
+    done = marked.where("same is null or hot is not null").select("id", "url", "payload", _refers("hot_first"))
+    rest = marked.where("same is not null and hot is null").select("id", "url", "payload", "same")
+    return done.union(_referring(rest, groups.where(F.col("n") <= limit)))
+
+
+def _refers(first: str) -> Column:
+    return F.when(~F.col("id").eqNullSafe(F.col(first)), F.col(first)).alias("refers_to")
+
+
+def _referring(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    return keyed.join(groups.select("same", "first"), "same", "left").select("id", "url", "payload", _refers("first"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:

@@ -87,3 +87,27 @@ def test_empty(spark):
     df = pages(spark, []).repartition(1)
     assert warc.write(df, path) == 0
     assert warc.read(spark, path).count() == 0 and warc.read(spark, path).columns[0] == "page_id"
+
+
+def test_many_repeated_payloads_without_a_hot_task(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_ROWS", 100)
+    monkeypatch.setattr(warc, "HOT_SHARE", 10)
+    hot = "h" * 1200
+    df = spark.range(90_000).selectExpr(
+        "CASE WHEN id = 5 THEN NULL ELSE id END page_id",
+        "'u' url",
+        f"CASE WHEN id % 3 = 0 THEN '{hot}' WHEN id % 3 = 1 THEN 'small' ELSE rpad(CAST(id % 30000 AS STRING), 1100, ' ') END html",
+    )
+    typed = warc.with_types(df, id_col="page_id", payload_col="html", url_col="url")
+    rows = typed.selectExpr("id", "length(payload) n", "refers_to", "spark_partition_id() p").collect()
+    assert len(rows) == 90_000
+    for r in rows:
+        if r["n"] == 1200:
+            want = 89_997 if r["id"] != 89_997 else None
+        elif r["n"] == 5:
+            want = None
+        else:
+            last = 60_000 + (5 if r["id"] is None else r["id"]) % 30_000
+            want = None if r["id"] == last else last
+        assert r["refers_to"] == want
+    assert len({r["p"] for r in rows if r["n"] == 1200}) > 1  # the hot payload stays where it lies
