@@ -6,12 +6,13 @@ index of anchor hashes, a fifth of the words or fewer in practice, misses no rep
 
   * runs: immutable tables of anchor hashes, bucketed and sorted by hash, one row for each hash of a document, marked if the document has it at more places;
   * segments: the documents of each batch, bucketed by their key, against which repeats are verified;
-  * manifests: numbered JSON files, each a whole list of runs and segments; the last one counts, so a batch that fails half-way leaves the index as it was.
+  * manifests: numbered JSON files, each a whole list of runs and of segments with their first and last keys; the last one
+    counts, so a batch that fails half-way leaves the index as it was.
 
 add() first compacts levels that hold FANOUT runs, each into one run of the next level, then writes the new batch as a segment and a run and merge-joins
 that run, without a shuffle, with itself and with every older run. Rows of either side whose hash is shared are candidates. They are verified before
-add() returns: the documents that have candidates, old and new, form the windows under their shared anchors, and a window is known by the 128-bit BLAKE2b
-digest of its words. A task that meets a digest again after an earlier place knows that window for a repeat and sends it on as part of a span, with no more
+add() returns: the documents that have candidates, old and new (only segments in whose range of keys candidates lie are read), form the windows
+under their shared anchors, and a window is known by the 128-bit BLAKE2b digest of its words. A task that meets a digest again after an earlier place knows that window for a repeat and sends it on as part of a span, with no more
 comparison; it remembers SEEN digests or more. So a passage that a third of all documents hold arrives once for each task. A window function over what
 is left tells the first of all. Words covered by a window that is not the first go.
 
@@ -182,8 +183,8 @@ class FingerprintIndex:
             state = json.loads(read_text(spark, f"{self.path}/{manifests[-1]}"))
             self.version = int(manifests[-1][9:18])
         else:
-            state = {"buckets": buckets, "levels": [[]], "segments": [], "last": None}
-        self.buckets, self.levels, self.segments, self.last = (state[k] for k in ("buckets", "levels", "segments", "last"))
+            state = {"buckets": buckets, "levels": [[]], "segments": [], "ends": {}, "last": None}
+        self.buckets, self.levels, self.segments, self.ends, self.last = (state[k] for k in ("buckets", "levels", "segments", "ends", "last"))
         for name in (x for level in self.levels for x in level):
             self._register(name, "h long, id long, part long, at int, many boolean", ("h",))
         for name in self.segments:
@@ -205,7 +206,7 @@ class FingerprintIndex:
     def _save(self) -> None:
         """The index as it is now is the next manifest."""
         self.version += 1
-        state = {"buckets": self.buckets, "levels": self.levels, "segments": self.segments, "last": self.last}
+        state = {"buckets": self.buckets, "levels": self.levels, "segments": self.segments, "ends": self.ends, "last": self.last}
         write_text(self.spark, f"{self.path}/manifest-{self.version:09d}", json.dumps(state))
 
     def add(self, rows: DataFrame) -> tuple[str, DataFrame]:
@@ -225,7 +226,8 @@ class FingerprintIndex:
         repeats = self._verified(segment, candidates)
         self.levels[0].append(made)
         self.segments.append(segment)
-        self.last = list(ends["high"]) if ends["high"] else self.last
+        if ends["low"]:
+            self.ends[segment], self.last = [list(ends["low"]), list(ends["high"])], list(ends["high"])
         self._save()
         _release(self.spark)
         return segment, repeats
@@ -243,8 +245,9 @@ class FingerprintIndex:
 
     def _verified(self, segment: str, candidates: list[DataFrame]) -> DataFrame:
         found = _windows(self.table(segment), candidates[0]).withColumn("new", F.lit(True))
-        for name in self.segments if len(candidates) > 1 else []:
-            found = found.union(_windows(self.table(name), candidates[1]).where("known is null").withColumn("new", F.lit(False)))
+        for name, low, high in self._named(candidates[1]) if len(candidates) > 1 else []:
+            texts = self.table(name).where(F.col("id").between(low, high))  # segments are sorted by id, so row groups outside aren't read
+            found = found.union(_windows(texts, candidates[1]).where("known is null").withColumn("new", F.lit(False)))
         first = F.min(F.struct("id", "part", "at")).over(Window.partitionBy("d1", "d2", F.isnotnull("known")))
         later = found.withColumn("first", first).where(F.col("new") & (F.col("known").isNotNull() | (F.col("first") != F.struct("id", "part", "at"))))
         lists = later.groupBy(*_KEYS).agg(F.flatten(F.collect_list("known")).alias("known"), F.collect_list("at").alias("places"))  # at most a document's own windows
@@ -253,6 +256,17 @@ class FingerprintIndex:
             delete(self.spark, x.inputFiles()[0].rpartition("/")[0])
         return out
 
+    def _named(self, candidates: DataFrame) -> list[tuple[str, int, int]]:
+        """(segment, least, largest id) of the segments that hold candidates; segments follow each other in the order of keys."""
+        if not self.ends:
+            return []
+        key, columns = F.struct("id", "part"), []
+        for i, (low, high) in enumerate(self.ends.values()):
+            inside = key.between(_key(low), _key(high))
+            columns += [F.min(F.when(inside, F.col("id"))).alias(f"low{i}"), F.max(F.when(inside, F.col("id"))).alias(f"high{i}")]
+        seen = candidates.agg(*columns).first()
+        return [(name, seen[f"low{i}"], seen[f"high{i}"]) for i, name in enumerate(self.ends) if seen[f"low{i}"] is not None]
+
     def _compact(self) -> None:
         """Merge the runs of each full level into one run of the next."""
         done = []
@@ -291,6 +305,10 @@ class FingerprintIndex:
             return
 
 
+def _key(pair: list[int]) -> Column:
+    return F.struct(*(F.lit(x).cast("long").alias(name) for x, name in zip(pair, _KEYS, strict=True)))
+
+
 def _without(texts: DataFrame, repeats: DataFrame) -> DataFrame:
     """(id, part, n_words, n_removed, kept_text, removed): removed lists [first, end) words."""
 

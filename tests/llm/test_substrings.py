@@ -121,3 +121,20 @@ def test_an_index_that_is_opened_again(spark):
     assert got == {6: list(range(11)), 7: [0, 1]}
     for index in (second, third):
         index.close()
+
+
+def test_only_segments_with_candidates_are_read(spark, monkeypatch):
+    index = substrings.FingerprintIndex(spark, new_dir(spark, "index"), 4)
+    texts = [" ".join(f"{name}{i}" for i in range(40)) for name in "abc"]
+    for i, text in enumerate(texts):
+        index.add(batch(spark, (2 * i, 0, text), (2 * i + 1, 0, "short text")))
+    read, table = [], index.table
+    monkeypatch.setattr(index, "table", lambda name: (read.append(name), table(name))[1])
+    segment, repeats = index.add(batch(spark, (10, 0, " ".join("d%d" % i for i in range(40)))))
+    assert places(repeats) == {}
+    assert {x for x in read if x.startswith("segment")} == {segment}
+    read.clear()
+    segment, repeats = index.add(batch(spark, (11, 0, "x " + texts[1])))
+    assert places(repeats) == {11: list(range(1, 22))}
+    assert {x for x in read if x.startswith("segment")} == {segment, index.segments[1]}
+    index.close()
