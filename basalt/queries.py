@@ -305,6 +305,20 @@ def edges_csr(spark, d):
     return graph.csr(_edges(spark, d)).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
 
 
+@query(f"WITH {_E1} SELECT CAST(row_number() OVER (ORDER BY src, dst) - 1 AS BIGINT) AS position, src, dst FROM e")
+def edges_csr_columns(spark, d):
+    """The adjacency column, a row for each place, so that a hub's list is no one row."""
+    return graph.csr_columns(_edges(spark, d))[1]
+
+
+@query(
+    f"""WITH {_E1}, g AS (SELECT id, count(dst) AS degree FROM (SELECT unnest(range(0, (SELECT max(src) + 1 FROM e))) AS id) LEFT JOIN e ON src = id GROUP BY id)
+    SELECT id, degree, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS first FROM g"""
+)
+def edges_csr_index(spark, d):
+    return graph.csr_columns(_edges(spark, d))[0]
+
+
 @query(f"WITH {_E1} SELECT src, dst FROM e")
 def edges_text_roundtrip(spark, d):
     path = scratch(spark, "text")
@@ -449,24 +463,43 @@ def pagerank_10(spark, d):
     return graph.pagerank(_edges(spark, d), 10).withColumn("value", F.round("value", 6))
 
 
-_RMAT = "[CAST('0x' || substr(md5(id || ':' || (i // 10) || ':1'), 3 * (i % 10) + 1, 3) AS INTEGER) % 1024 for i in range(12)]"
-_bits = lambda on: " + ".join(f"CASE WHEN {on.replace('x', f'r[{i + 1}]')} THEN {1 << 11 - i} ELSE 0 END" for i in range(12))
+_RMAT = "[CAST('0x' || substr(md5(id || ':' || (i // 10) || ':1'), 3 * (i % 10) + 1, 3) AS INTEGER) % 1024 for i in range(20)]"
+_bits = lambda on: " + ".join(f"CASE WHEN {on.replace('x', f'r[{i + 1}]')} THEN {1 << 19 - i} ELSE 0 END" for i in range(20))
 
 
-@query(f"SELECT CAST({_bits('(x >= 583 AND x < 777) OR x >= 971')} AS BIGINT) AS src, CAST({_bits('x >= 777')} AS BIGINT) AS dst FROM (SELECT {_RMAT} AS r FROM (SELECT unnest(range(16384)) AS id))")
+@query(f"SELECT CAST({_bits('(x >= 583 AND x < 777) OR x >= 971')} AS BIGINT) AS src, CAST({_bits('x >= 777')} AS BIGINT) AS dst FROM (SELECT {_RMAT} AS r FROM (SELECT l_orderkey * 8 + l_linenumber AS id FROM lineitem))")
 def rmat_edges(spark, d):
-    return generate.rmat(spark, 12, 4, seed=1)
+    """An edge for each order line."""
+    ids = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    return generate.rmat_of(ids, 20, seed=1)
 
 
-@query()
+_ATTACHED = """WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS v FROM customer), s AS (SELECT v, (v - 3) * 8 + j AS slot FROM v, (SELECT unnest(range(8)) AS j) WHERE v >= 3),
+    h AS (SELECT v, slot, CAST('0x' || substr(md5(slot || ':1'), 1, 4) AS BIGINT) < 6553 AS coin, CAST('0x' || substr(md5(slot || ':1'), 5, 15) AS BIGINT) AS drawn FROM s),
+    t AS (SELECT slot, CASE WHEN coin THEN drawn % v END AS u, CASE WHEN NOT coin THEN drawn % (6 + 16 * (v - 3)) END AS place FROM h),
+    r(v, slot) AS (SELECT v, slot FROM s UNION ALL SELECT r.v, (place - 6) // 2 FROM r JOIN t USING (slot) WHERE place >= 6 AND place % 2 = 1),
+    c AS (SELECT DISTINCT v, coalesce(u, CASE WHEN place < 6 THEN [0, 1, 1, 2, 2, 0][place + 1] ELSE 3 + (place - 6) // 16 END) AS u FROM r JOIN t USING (slot) WHERE u IS NOT NULL OR place < 6 OR place % 2 = 0
+        UNION ALL SELECT v, unnest(range(v)) FROM v WHERE v < 3),
+    a AS (SELECT CAST(v AS BIGINT) AS src, CAST(u AS BIGINT) AS dst FROM c UNION ALL SELECT u, v FROM c)"""
+
+
+def _attached(spark, d):
+    """Customers in order of their keys as vertices."""
+    return generate.attach(ordering.positions(table(spark, d, "customer").select("c_custkey"), F.col("c_custkey")), id_col="position", seed=1)
+
+
+@query(f"{_ATTACHED} SELECT src, dst FROM a")
 def ba_edges(spark, d):
-    return generate.barabasi_albert(spark, 10, 8, seed=1)
+    return _attached(spark, d)
 
 
-@query("SELECT CAST(1024 AS BIGINT) AS n_vertices, CAST(0 AS BIGINT) AS n_loops, CAST(0 AS BIGINT) AS n_repeats, CAST(0 AS BIGINT) AS n_one_way, true AS new_vertices_have_at_most_eight_older")
+@query(
+    f"""{_ATTACHED}, g AS (SELECT src, dst, count(*) AS n FROM a GROUP BY src, dst) SELECT count(DISTINCT g.src) AS n_vertices, count(*) FILTER (WHERE g.src = g.dst) AS n_loops, count(*) FILTER (WHERE g.n > 1) AS n_repeats,
+    count(*) FILTER (WHERE b.src IS NULL) AS n_one_way, (SELECT max(k) <= 8 FROM (SELECT count(*) AS k FROM g WHERE dst < src AND src >= 3 GROUP BY src)) AS new_vertices_have_at_most_eight_older FROM g LEFT JOIN g b ON b.src = g.dst AND b.dst = g.src"""
+)
 def ba_check(spark, d):
-    """What holds for any seed of the preferential-attachment graph."""
-    e = generate.barabasi_albert(spark, 10, 8, seed=1).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """Properties of the preferential-attachment graph."""
+    e = _attached(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"))
     back = e.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(True).alias("back"))
     older = e.where("dst < src and src >= 3").groupBy("src").agg(F.count("*").alias("c")).agg((F.max("c") <= 8).alias("new_vertices_have_at_most_eight_older"))
     return e.join(back, ["src", "dst"], "left").agg(F.count_distinct("src").alias("n_vertices"), F.count_if(F.col("src") == F.col("dst")).alias("n_loops"), F.count_if(F.col("n") > 1).alias("n_repeats"), F.count_if(F.col("back").isNull()).alias("n_one_way")).join(F.broadcast(older))

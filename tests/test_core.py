@@ -1,5 +1,6 @@
 """Small cases of the core engine: hand-made inputs, plain-Python models, round trips."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -198,6 +199,55 @@ def test_generators(spark):
     assert all(b[t, s] == n and s != t for (s, t), n in b.items()) and {v for e in b for v in e} == set(range(64))
 
 
+def attached(n, edge_factor, uniform, seed):
+    """Vertex by vertex over a list of ends that grows, with the same draws."""
+    ends, made = [0, 1, 1, 2, 2, 0], {(1, 0), (2, 0), (2, 1)}
+    for v in range(3, n):
+        known = len(ends)
+        for j in range(edge_factor):
+            digest = hashlib.md5(f"{(v - 3) * edge_factor + j}:{seed}".encode()).hexdigest()
+            drawn = int(digest[4:19], 16)
+            u = drawn % v if int(digest[:4], 16) < int(uniform * 65536) else ends[drawn % known]
+            made.add((v, u))
+            ends += (v, u)
+    return made
+
+
+@pytest.mark.parametrize("edge_factor, uniform", [(1, 0.0), (3, 0.1), (8, 1.0)])
+def test_attachment_matches_a_growing_list(spark, edge_factor, uniform):
+    want = attached(300, edge_factor, uniform, 5)
+    ids = spark.range(300).orderBy(F.desc("id")).repartition(7).withColumn("v", F.lit("clash"))
+    e = generate.attach(ids, edge_factor, uniform=uniform, seed=5)
+    assert Counter(map(tuple, e.collect())) == Counter([*want, *((u, v) for v, u in want)])
+    assert "Exchange" not in generate.attach(spark.range(9), 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_attachment_of_odd_vertices(spark):
+    of = lambda *ids: Counter(map(tuple, generate.attach(spark.createDataFrame([(i,) for i in ids], "id bigint"), 2, seed=1).collect()))
+    assert of() == of(0) == of(None, -4) == Counter()
+    assert of(0, 1) == of(1) == Counter([(0, 1), (1, 0)]) and of(7, 7) == of(7) + of(7)
+
+
+def test_attachment_prefers_degree(spark):
+    old = lambda uniform: generate.attach(spark.range(4000), 2, uniform=uniform, seed=2).groupBy("src").count().agg(F.max("count")).first()[0]
+    assert old(0.0) > 3 * old(1.0)
+
+
+def test_csr_in_columns(spark):
+    e = spark.range(30_000).select(F.lit(2).cast("bigint").alias("src"), F.col("id").alias("dst")).union(edges(spark, (0, 3), (5, 1), (5, 0)))
+    index, column = graph.csr_columns(e)
+    assert [tuple(r) for r in index.orderBy("id").collect()] == [(0, 1, 0), (1, 0, 1), (2, 30_000, 1), (3, 0, 30_001), (4, 0, 30_001), (5, 2, 30_001)]
+    at = {r["position"]: (r["src"], r["dst"]) for r in column.collect()}
+    assert [at[i] for i in range(30_003)] == sorted(map(tuple, e.collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # or these few rows would be put together again
+    try:
+        dealt = graph.csr_columns(e)[1].groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) > 3 and max(r[1] for r in dealt) < 20_000  # the hub is split
+    assert [x.count() for x in graph.csr_columns(edges(spark))] == [0, 0]
+
+
 def test_scan_query_and_metrics(spark):
     t = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 9.0)], "k bigint, x double")
     q = ScanQuery(t, F.col("k"), F.col("x") * 2).where(F.col("x") < 5).where(F.col("x") > 2)
