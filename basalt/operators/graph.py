@@ -76,14 +76,18 @@ def csr(edges: DataFrame, *, width: int = 8) -> DataFrame:
     return running_total(rows, "id", "degree", "before").select("id", "degree", (F.col("before") * width).alias("offset"), "neighbours")
 
 
-def csr_columns(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two columns of a CSR: (id, degree, first) of every id from 0 to the last source, and (position, src, dst) sorted by src and dst; first is the position of an
-    id's first neighbour. Positions are dealt by ranges of (src, dst), so a hub lies in several partitions and its neighbours are never one row."""
+def csr_index(edges: DataFrame) -> DataFrame:
+    """(id, degree, first) of every id from 0 to the last source; first is the place of its first neighbour in csr_column()."""
     edges = edges.where("src >= 0").select("src", "dst")
     last = edges.agg(F.max("src")).first()[0]
     ids = edges.sparkSession.range(0 if last is None else last + 1)
     counted = ids.join(degrees(edges).withColumnRenamed("key", "id"), "id", "left").select("id", F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree"))
-    return running_total(counted, "id", "degree", "first").select("id", "degree", "first"), positions(edges, F.col("src"), F.col("dst")).select("position", "src", "dst")
+    return running_total(counted, "id", "degree", "first").select("id", "degree", "first")
+
+
+def csr_column(edges: DataFrame) -> DataFrame:
+    """(position, src, dst) sorted by src and dst. Positions are dealt by ranges of both, so a hub lies in several partitions and its neighbours are never one row."""
+    return positions(edges.where("src >= 0").select("src", "dst"), F.col("src"), F.col("dst")).select("position", "src", "dst")
 
 
 def pages_touched(index: DataFrame, frontier: DataFrame, *, page: int = PAGE_BYTES, width: int = 8) -> DataFrame:

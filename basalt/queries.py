@@ -306,9 +306,9 @@ def edges_csr(spark, d):
 
 
 @query(f"WITH {_E1} SELECT CAST(row_number() OVER (ORDER BY src, dst) - 1 AS BIGINT) AS position, src, dst FROM e")
-def edges_csr_columns(spark, d):
+def edges_csr_column(spark, d):
     """The adjacency column, a row for each place, so that a hub's list is no one row."""
-    return graph.csr_columns(_edges(spark, d))[1]
+    return graph.csr_column(_edges(spark, d))
 
 
 @query(
@@ -316,7 +316,7 @@ def edges_csr_columns(spark, d):
     SELECT id, degree, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS first FROM g"""
 )
 def edges_csr_index(spark, d):
-    return graph.csr_columns(_edges(spark, d))[0]
+    return graph.csr_index(_edges(spark, d))
 
 
 @query(f"WITH {_E1} SELECT src, dst FROM e")
