@@ -18,17 +18,29 @@ COIN = 1 << 16
 _STEPS = (8, 64)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, as a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
+
+
 def rmat_of(ids: DataFrame, scale: int, *, id_col: str = "id", seed: int = 0) -> DataFrame:
     """An edge (src, dst) over 2**scale vertices for each row: equal ids make equal edges, a null id counts as a value of its own."""
     a, b, c = CUTS
     # an MD5 digest has 32 hexadecimal digits: three of them for each of PER_HASH draws
     hashes = F.transform(F.sequence(F.lit(0), F.lit((scale - 1) // PER_HASH)), lambda j: F.md5(F.concat_ws(":", F.col(id_col), j, F.lit(seed))))
-    digits = lambda i: F.substring(F.element_at("hashes", (F.floor(i / PER_HASH) + 1).cast("int")), 3 * (i % PER_HASH) + 1, F.lit(3))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(scale - 1)), lambda i: F.conv(digits(i), 16, 10).cast("int") % 1024)
-    bit = lambda on: F.aggregate("draws", F.lit(0).cast("bigint"), lambda n, r: n * 2 + on(r).cast("bigint"))
-    src = bit(lambda r: ((r >= a) & (r < b)) | (r >= c))
-    dst = bit(lambda r: r >= b)
-    return ids.select(hashes.alias("hashes")).select(draws.alias("draws")).select(src.alias("src"), dst.alias("dst"))
+    draw = lambda h, i: F.conv(F.substring(F.get(h, F.lit(i // PER_HASH)), 3 * (i % PER_HASH) + 1, 3), 16, 10).cast("int") % 1024
+
+    def edge(draws: Column) -> Column:
+        bit = lambda on: F.aggregate(draws, F.lit(0).cast("bigint"), lambda n, r: n * 2 + on(r).cast("bigint"))
+        return F.struct(bit(lambda r: ((r >= a) & (r < b)) | (r >= c)).alias("src"), bit(lambda r: r >= b).alias("dst"))
+
+    made = _once(hashes, lambda h: _once(F.array(*(draw(h, i) for i in range(scale))), edge))
+    # a generator's result is used as it is, where a column would be computed for each of its fields
+    return ids.select(F.inline(F.array(made)))
 
 
 def rmat(spark: SparkSession, scale: int, edge_factor: int = 1, *, seed: int = 0) -> DataFrame:
@@ -36,15 +48,6 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 1, *, seed: int = 0
     return rmat_of(spark.range(edge_factor << scale), scale, seed=seed)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once, as a lambda's variable."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def _div(a: Column, b: int) -> Column:
-    return F.call_function("div", a, F.lit(b).cast("bigint"))
-
-
 def _target(slot: Column, vertex: Column, edge_factor: int, uniform: float, seed: int) -> Column:
     """The older vertex that an edge slot of vertex takes.
 
