@@ -222,7 +222,7 @@ def verdicts(c: Chunk, model: QualityModel, threshold: float) -> dict[str, np.nd
 
 
 def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = MIN_PROBABILITY) -> DataFrame:
-    """id, the base counts, base_failed, probability, kept: one row for each input row."""
+    """id, the base counts, base_failed, kept, probability: one row for each input row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 4 << BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +231,11 @@ def score(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id", text_
                 got = verdicts(c, shared.value, threshold)
                 ids = batch.column(0).slice(c.first, c.last - c.first)
                 columns = [pa.array(got[k].astype(np.int64)) for k in BASE_COLUMNS]
-                yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(got["base_failed"]), pa.array(got["probability"]), pa.array(got["kept"])], names=[id_col, *BASE_COLUMNS, "base_failed", "probability", "kept"])
+                yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(got["base_failed"]), pa.array(got["kept"]), pa.array(got["probability"])], names=[id_col, *BASE_COLUMNS, "base_failed", "kept", "probability"])
 
     rows = docs.select(F.col(id_col), F.col(text_col))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in BASE_COLUMNS) + ", base_failed boolean, probability double, kept boolean")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{k} long" for k in BASE_COLUMNS) + ", base_failed boolean, kept boolean, probability double")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text", threshold: float = MIN_PROBABILITY) -> DataFrame:

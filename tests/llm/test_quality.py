@@ -3,8 +3,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from basalt.llm import quality
+from basalt.llm import quality, textops
 from basalt.llm.logistic import calibrate, sigmoid
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -33,6 +34,74 @@ def test_base_counts(spark, odd_docs, sf, twins):
     assert got == want
 
 
+ALL = (1 << 64) - 1
+
+
+def spread(h):
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & ALL
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & ALL
+    return h ^ (h >> 33)
+
+
+def word_hash(word):
+    """Lane after lane of eight bytes, for words below the length from which another hash is used."""
+    data = word.encode()
+    assert len(data) <= textops._LONG
+    lanes = [int.from_bytes(data[i : i + 8], "little") for i in range(0, len(data), 8)]
+    h = spread(lanes[0] ^ (len(data) * 0xA0761D6478BD642F & ALL))
+    for lane in lanes[1:]:
+        h = spread(h * 0x9E3779B97F4A7C15 & ALL ^ lane)
+    return h
+
+
+def model_probability(text, model):
+    """The mean weight of a text's n-grams, family by family, one by one."""
+    words, z = [word_hash(w) for w in WORD.findall(text or "")], model.intercept
+    points = [ord(x) for x in text or ""]
+    for f, k in enumerate((1, 2, 3, 4)):
+        weights = []
+        if f < 2:
+            for i in range(len(words) - k + 1):
+                h = spread((sum(w * textops._WORD_BASE**j for j, w in enumerate(words[i : i + k])) + k * 0xA0761D6478BD642F) & ALL)
+                weights.append(float(model.weights[(f << quality.BITS) + (h >> 64 - quality.BITS)]))
+        else:
+            for i in range(len(points) - k + 1):
+                h = 0
+                for x in points[i : i + k]:
+                    h = (h ^ x) * 0x85EBCA6B & 0xFFFFFFFF
+                    h ^= h >> 15
+                weights.append(float(model.weights[(f << quality.BITS) + (h >> 32 - quality.BITS)]))
+        z += sum(weights) / max(1, len(weights))
+    return float(sigmoid(np.float64(model.scale * z + model.shift)))
+
+
+def test_probability_and_verdict_match_a_model_gram_by_gram(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a"), (-4, "a b"), (-5, "\u00e9\u4e2d \U0001f600 " * 12), (-6, "word " * 40), (-6, "word " * 40), (None, "x y z " * 9)], "doc_id long, text string")
+    some = docs.select("doc_id", "text").where(F.length("text") < 6000).union(extra)
+    texts = Counter((r["doc_id"], r["text"]) for r in some.collect())
+    got = quality.score(some, model).collect()
+    assert got[0].__fields__ == ["doc_id", *quality.BASE_COLUMNS, "base_failed", "kept", "probability"]
+    want = Counter()
+    for (i, text), n in texts.items():
+        want[i, round(model_probability(text, model), 9)] += n
+    assert Counter((r["doc_id"], round(r["probability"], 9)) for r in got) == want
+    assert all(r["kept"] == (not r["base_failed"] and r["probability"] >= 0.5) for r in got) and {r["kept"] for r in got} == {True, False}
+
+
+def test_a_probability_of_exactly_the_threshold_passes(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(docs, labels)
+    one = next(r for r in quality.score(docs, model).collect() if not r["base_failed"])
+    alone = docs.where(F.col("doc_id") == one["doc_id"])
+    for threshold, kept in ((one["probability"], True), (float(np.nextafter(one["probability"], 2)), False)):
+        assert [r["kept"] for r in quality.score(alone, model, threshold=threshold).collect()] == [kept]
+        assert quality.keep_good(alone, model, threshold=threshold).count() == kept
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
