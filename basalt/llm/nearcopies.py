@@ -1,13 +1,15 @@
-"""Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, by SimHash and, for what its 64 bits can't tell, MinHash.
 
-A fingerprint of 64 bits can't find them: at 0.8 two fingerprints differ in about 10 bits, and no pigeonhole plan reaches that far. So candidates
-share a band: BANDS keys, each of ROWS minima of the set under random orders. A pair at similarity s shares none with probability
+First SimHash: each set's 64-bit fingerprint is probed by the generalised pigeonhole principle with thresholds by dynamic programming (simhash.links()), and
+classes whose fingerprints differ in at most TAU bits are linked where their whole sets are similar. A fingerprint can't reach every link: at 0.8 two differ in
+about 10 bits, and no pigeonhole plan goes that far. So, second, what is in different components after that meets once more by bands: BANDS keys, each of ROWS
+minima of the set under random orders. A pair at similarity s shares none with probability
 (1 - s ** ROWS) ** BANDS: 6e-5 at 0.8, 1e-10 at 0.9. Two bits of each minimum are a document's signature; a pair at 0.8 agrees in 163 of those 192
 places on average, and in less than AGREE with probability 1e-7. Pairs that agree in less are passed by inside the join on the band, before they
-are rows. Each link is verified on the whole sets of shingle hashes (64 bits).
+are rows. Each link of either kind is verified on the whole sets of shingle hashes (64 bits).
 
 Equal sets are one class. In each of STARS rounds a class is compared with one other that shares a band with it, the one of the smallest hash in that band and over
-its bands, so a large group of near copies becomes one component without its pairs. Then the members of each band that holds more than one component
+its bands, so a large group of near copies becomes one component without its pairs; the first round's links and the fingerprints' are put together before components are found. Then the members of each band that holds more than one component
 meet in blocks of about BLOCK classes and BLOCK_SHINGLES shingles; a larger band's blocks meet two by two. A block's signatures tell which of its pairs agree. Where
 those are no more than its members they are verified as pairs, else its members' texts meet in the block once and it gives a spanning forest of
 its similar pairs. So no band's pairs become rows, and in the end every pair that shares a band and agrees was compared or is in one component.
@@ -27,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.components import connected_components
-from basalt.llm.simhash import _LOWER
+from basalt.llm.simhash import _LOWER, links as near_prints
 from basalt.llm.store import in_files, place, staged
 from basalt.llm.textops import _WORD_BASE, Chunk, chunks, mix, span_hashes
 
-SHINGLE, BANDS, ROWS, STARS = 5, 32, 6, 2
+SHINGLE, TAU, BANDS, ROWS, STARS = 5, 3, 32, 6, 1
 AGREE, BLOCK, BLOCK_SHINGLES, SPREAD = 136, 1024, 500_000, 128
 _SIGNS = BANDS * ROWS // 32
 _PAIRS_OF_BITS = 0x5555555555555555
@@ -79,8 +81,21 @@ def sketches(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return whole, keys, signs
 
 
+def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: a bit is 1 if set in over half of its hashes; 0 of an empty set."""
+    out, some = np.zeros(len(bounds) - 1, np.uint64), np.flatnonzero(np.diff(bounds))
+    if not len(some):
+        return out
+    starts, size, half = bounds[:-1][some], np.diff(bounds)[some].astype(np.uint64), np.uint64(32)
+    for j in range(32):
+        two = np.add.reduceat((hashes >> np.uint64(j)) & np.uint64((1 << 32) + 1), starts)  # the counts of bits j and j + 32
+        for bit, count in ((j, two & np.uint64(0xFFFFFFFF)), (j + 32, two >> half)):
+            out[some] |= (2 * count > size).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
 def _sketched(slim: DataFrame) -> DataFrame:
-    """(id, file, row, n, h, bands, sig) of slim (file, row, id, text): how many shingles, a hash of their set, keys (none without words), signature."""
+    """(id, file, row, n, h, fp, bands, sig) of slim (file, row, id, text): how many shingles, a hash of their set, its fingerprint, keys (none without words), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,11 +106,11 @@ def _sketched(slim: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel().view(np.int64)))
                 sig = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(signs[:, j]).view(np.int64)) for j in range(_SIGNS)], names=[f"s{j}" for j in range(_SIGNS)])
                 rest = [batch.column(j).slice(c.first, c.last - c.first) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), lists, sig], names=["file", "row", "id", "n", "h", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(n.astype(np.int32)), pa.array(whole.view(np.int64)), pa.array(fingerprints(hashes, bounds).view(np.int64)), lists, sig], names=["file", "row", "id", "n", "h", "fp", "bands", "sig"])
 
     long = F.lit(0).cast("long")
     sig = F.struct(*(long.alias(f"s{j}") for j in range(_SIGNS)))
-    kind = slim.select("file", "row", "id", F.lit(0).alias("n"), long.alias("h"), F.array(long).alias("bands"), sig.alias("sig")).schema
+    kind = slim.select("file", "row", "id", F.lit(0).alias("n"), long.alias("h"), long.alias("fp"), F.array(long).alias("bands"), sig.alias("sig")).schema
     return slim.select("file", "row", "id", "text").mapInArrow(run, kind)
 
 
@@ -134,6 +149,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes whose fingerprints differ in at most TAU bits; enough of them that all such classes would be connected."""
+    some = classes.where("n > 0").select("fp", "h")
+    prints = staged(some.groupBy("fp").agg(F.min("h").alias("first")), "prints")
+    same = some.join(prints, "fp").where("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b"))
+    near = near_prints(prints.select("fp"), TAU).distinct()
+    for end in ("a", "b"):
+        near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
+    return same.union(near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
 def agreeing(members: dict[str, np.ndarray], cross: bool) -> np.ndarray:
     """Which pairs i < j of a block's members can be similar and are in two components; cross: and in two blocks."""
     m = len(members["h"])
@@ -237,18 +263,20 @@ def _in_blocks(dense: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(classes: DataFrame, slim: DataFrame) -> DataFrame:
-    """(node, root) for each class that has near copies; classes (h, n, bands, sig, first), slim (file, row, text)."""
+    """(node, root) for each class that has near copies; classes (h, n, fp, bands, sig, first), slim (file, row, text)."""
+    printed = staged(_by_fingerprint(classes), "printed")
     keyed = classes.where("n > 0").select("h", "n", "sig", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     parts = F.ceil(F.col("size") / SPREAD).cast("int")
     members = staged(keyed.join(shared, "key").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("h"), "parts").cast("int")).drop("size"), "members")
-    spots = classes.join(members.select("h").distinct(), "h", "left_semi").select("h", F.col("first.file").alias("file"), F.col("first.row").alias("row"))
+    asked = members.select("h").union(printed.select("a")).union(printed.select("b")).distinct()
+    spots = classes.join(asked, "h", "left_semi").select("h", F.col("first.file").alias("file"), F.col("first.row").alias("row"))
     texts = staged(slim.join(spots, ["file", "row"]).select("h", "text"), "texts")
-    links = nodes = None
+    links, nodes = staged(_verified(printed, texts), "links"), None
+    if not STARS:
+        nodes = staged(connected_components(links), "nodes")
     for star in range(STARS + 1):
-        rooted = members.withColumn("root", F.col("h")) if nodes is None else members.join(nodes, members.h == nodes.node, "left").select("key", "parts", "salt", "h", "n", "sig", F.coalesce("root", "h").alias("root"))
-        if star:
-            rooted = staged(rooted, "rooted")
+        rooted = members.withColumn("root", F.col("h")) if nodes is None else staged(members.join(nodes, members.h == nodes.node, "left").select("key", "parts", "salt", "h", "n", "sig", F.coalesce("root", "h").alias("root")), "rooted")
         unlike = rooted.groupBy("key", "parts").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
         unsettled = staged(rooted.join(_spread(unlike), ["key", "salt"], "left_semi"), "unsettled")
         if unsettled.isEmpty():
@@ -264,9 +292,9 @@ def components(classes: DataFrame, slim: DataFrame) -> DataFrame:
             found = staged(_blocks(unsettled), "found")
             pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             good = staged(_verified(pairs, texts), "links").union(staged(_in_blocks(found.where("b is null"), texts), "links"))
-        links = good if links is None else links.union(good)
+        links = links.union(good)
         nodes = staged(connected_components(links), "nodes")
-    return nodes if nodes is not None else classes.where("false").select(F.col("h").alias("node"), F.col("h").alias("root"))
+    return nodes if nodes is not None else staged(connected_components(links), "nodes")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +302,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     docs, at = in_files(docs), place()
     slim = docs.select(*at, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "file", "row")).alias("first")
-    classes = staged(staged(_sketched(slim), "sketches").groupBy("h", "n").agg(first, F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    classes = staged(staged(_sketched(slim), "sketches").groupBy("h", "n").agg(first, F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     nodes = components(classes, slim)
     best = classes.join(nodes, classes.h == nodes.node, "left").groupBy(F.coalesce("root", "h").alias("root")).agg(F.min("first").alias("first"))
     chosen = best.select(F.col("first.file").alias("_f"), F.col("first.row").alias("_r"))

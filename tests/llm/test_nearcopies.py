@@ -2,7 +2,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from basalt.llm import nearcopies
@@ -103,3 +105,31 @@ def test_signatures_of_similar_sets_agree():
 def test_keeps_columns_and_empty_tables(odd_docs, no_docs):
     assert nearcopies.keep_one(odd_docs).columns == odd_docs.columns
     assert nearcopies.keep_one(no_docs).count() == 0
+
+
+def test_fingerprints_link_without_bands(spark):
+    rng = random.Random(9)
+    base = [["u%d" % rng.randint(0, 5000) for _ in range(900)] for _ in range(3)]
+    rows = [(i, edited(rng, base[i % 3], i // 6, f"q{i}")) for i in range(24)] + [(24, "z y x"), (25, "")]
+    docs = nearcopies.in_files(spark.createDataFrame(rows, "doc_id long, text string"))
+    slim = docs.select(*nearcopies.place(), F.col("doc_id").alias("id"), "text")
+    sketched = nearcopies._sketched(slim)
+    prints = {r["id"]: r["fp"] for r in sketched.collect()}
+    c = next(nearcopies.chunks(pa.array([t for _, t in rows])))
+    hashes, bounds = nearcopies.shingle_sets(c)
+    for i in prints:
+        own = hashes[bounds[i] : bounds[i + 1]].tolist()
+        assert prints[i] % (1 << 64) == sum((2 * sum(h >> j & 1 for h in own) > len(own)) << j for j in range(64))
+    classes = sketched.where("n > 0").select("id", "n", "h", "fp", F.filter("bands", lambda x: F.lit(False)).alias("bands"), "sig", F.struct("file", "row").alias("first"))
+    want = {}
+    for i in range(24):
+        near = [j for j in range(24) if (prints[i] ^ prints[j]).bit_count() <= nearcopies.TAU]
+        group = set(near).union(*(want.get(j, ()) for j in near))
+        want |= dict.fromkeys(group, group)
+    got = {r["node"]: r["root"] for r in nearcopies.components(classes, slim).collect()}
+    of = {r["id"]: got.get(r["h"], r["h"]) for r in sketched.select("id", "h").collect()}
+    assert max(map(len, want.values())) > 4
+    sets = [shingles_of(t) for _, t in rows]
+    assert all(similar(sets[i], sets[j]) for i in want for j in range(24) if (prints[i] ^ prints[j]).bit_count() <= nearcopies.TAU)
+    for i in range(24):
+        assert {j for j in range(26) if of[j] == of[i]} == want[i]
