@@ -83,21 +83,22 @@ class WordTokenizer:
         return got
 
     def ids(self, word: bytes) -> list[int]:
+        got = self.words.get(word)
+        if got is None:
+            got = self.words.put(word, self._cut(word))
+        return got
+
+    def _cut(self, word: bytes) -> list[int]:
         # one run of letters, then one of punctuation, is what the pattern would split
         core = word.rstrip(_MARKS)
         if core.isalpha():  # ASCII
             got = self._part(core.lower().decode())
             return got if len(core) == len(word) else got + self._part(word[len(core) :].decode())
-        got = self.words.get(word)
-        if got is None:
-            text = word.decode("utf-8", "replace")
-            if m := _PLAIN.fullmatch(text):
-                letters, marks = m.groups()
-                got = (self._part(letters.lower()) if letters else []) + (self._part(marks) if marks else [])
-            else:
-                got = self.whole.encode(text, add_special_tokens=False).ids
-            self.words.put(word, got)
-        return got
+        text = word.decode("utf-8", "replace")
+        if m := _PLAIN.fullmatch(text):
+            letters, marks = m.groups()
+            return (self._part(letters.lower()) if letters else []) + (self._part(marks) if marks else [])
+        return self.whole.encode(text, add_special_tokens=False).ids
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -113,7 +114,8 @@ def token_ids(c: Chunk, tok: WordTokenizer) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a chunk with END after each text, and where each text's ids begin (one more for the end)."""
     first, kind = c.words
     raw = c.data.tobytes()
-    lists = [tok.ids(raw[a:b]) for a, b in zip(c.starts[first].tolist(), c.ends[first].tolist(), strict=True)]
+    known = tok.words.young.get  # most words are there
+    lists = [known(word := raw[a:b]) or tok.ids(word) for a, b in zip(c.starts[first].tolist(), c.ends[first].tolist(), strict=True)]
     lists.append([END])
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))

@@ -70,3 +70,12 @@ def test_pieces_and_ids(spark, odd_docs, no_docs, sf, twins):
         used[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(used.values()) <= 2048 and len(used) == len(naive_bins([r["length"] for r in got], 2048))
     assert packing.pack(no_docs, PATH).count() == 0
+
+
+def test_a_word_is_cut_once(monkeypatch):
+    tok = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    words = [w.encode() for w in ("plain", "Word,", "ÉTÉ.", "a-b", "x1")]
+    first = [tok.ids(w) for w in words]
+    assert first == [tok.whole.encode(w.decode(), add_special_tokens=False).ids for w in words]
+    monkeypatch.setattr(tok, "_part", None)
+    assert [tok.ids(w) for w in words] == first
