@@ -28,12 +28,13 @@ from basalt.llm.store import staged
 from basalt.llm.textops import Chunk, chunks, gather
 
 CAPACITY, END = 2048, 0
-_CACHE_WORDS = 150_000
-_CHUNK = 1 << 20
+_CACHE_WORDS = 300_000
+_CHUNK = 1 << 23  # a chunk's different words are looked up once each, so larger ones have less to look up
 _SHIFT = 50
 # Latin letters that NFC leaves alone and whose lower case is one character; then ASCII punctuation without the apostrophe.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įĲ-ſ]*)([!-&(-/:-@\\[-`{-~]*)")
+_PARTS = "([A-Za-zÀ-ÖØ-öø-įĲ-ſ]*)([!-&(-/:-@\\[-`{-~]*)"
+_PLAIN, _LINES = re.compile(_PARTS), re.compile(_PARTS + "(.*)\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -88,6 +89,19 @@ class WordTokenizer:
             got = self.words.put(word, self._cut(word))
         return got
 
+    def lists(self, lines: str) -> list[list[int]]:
+        """The ids of each word, as ids() has them; a word and \\n on each line. Parts are told by one expression for all, and words of plain letters share them."""
+        known, out = self.parts.young.get, []
+        for letters, marks, rest in _LINES.findall(lines):
+            if rest:
+                out.append(self.ids((letters + marks + rest).encode()))
+            elif letters:
+                got = known(lower := letters.lower()) or self._part(lower)
+                out.append(got + (known(marks) or self._part(marks)) if marks else got)
+            else:
+                out.append(known(marks) or self._part(marks))
+        return out
+
     def _cut(self, word: bytes) -> list[int]:
         # one run of letters, then one of punctuation, is what the pattern would split
         core = word.rstrip(_MARKS)
@@ -113,9 +127,10 @@ def tokenizer(path: str) -> WordTokenizer:
 def token_ids(c: Chunk, tok: WordTokenizer) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a chunk with END after each text, and where each text's ids begin (one more for the end)."""
     first, kind = c.words
-    raw = c.data.tobytes()
-    known = tok.words.young.get  # most words are there
-    lists = [known(word := raw[a:b]) or tok.ids(word) for a, b in zip(c.starts[first].tolist(), c.ends[first].tolist(), strict=True)]
+    length = c.ends[first] - c.starts[first] + 1
+    lines = np.append(c.data, np.uint8(10))[gather(c.starts[first], length)]
+    lines[np.cumsum(length) - 1] = 10
+    lists = tok.lists(lines.tobytes().decode("utf-8", "replace"))
     lists.append([END])
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
@@ -126,14 +141,28 @@ def token_ids(c: Chunk, tok: WordTokenizer) -> tuple[np.ndarray, np.ndarray]:
     return ids, total[c.word_offsets + np.arange(c.last - c.first + 1)]
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ChunkedArray]]:
+    """(first columns, texts) of consecutive batches, as many as have _CHUNK bytes of text together, one at least."""
+    held, size = [], 0
+    for batch in batches:
+        text = batch.column(1).cast(pa.large_string())
+        if held and size + text.nbytes > _CHUNK:
+            yield pa.concat_arrays([a for a, _ in held]), pa.chunked_array([b for _, b in held])
+            held, size = [], 0
+        held.append((batch.column(0), text))
+        size += text.nbytes
+    if held:
+        yield pa.concat_arrays([a for a, _ in held]), pa.chunked_array([b for _, b in held])
+
+
 def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32, task, rank): rank counts the task's pieces of the same length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, task = tokenizer(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for c in chunks(batch.column(1), _CHUNK):
+        for keys, texts in _together(batches):
+            for c in chunks(texts, _CHUNK):
                 ids, bounds = token_ids(c, tok)
                 size = np.diff(bounds)
                 count = -(-size // capacity)
@@ -151,7 +180,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
                 rank += seen[length]
                 np.add.at(seen, length, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(c.first, c.last - c.first).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task, np.int32)), pa.array(rank)],
+                    [keys.slice(c.first, c.last - c.first).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task, np.int32)), pa.array(rank)],
                     names=["id", "piece", "start", "length", "ids_crc32", "task", "rank"],
                 )
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from basalt.llm import packing
@@ -79,3 +80,25 @@ def test_a_word_is_cut_once(monkeypatch):
     assert first == [tok.whole.encode(w.decode(), add_special_tokens=False).ids for w in words]
     monkeypatch.setattr(tok, "_part", None)
     assert [tok.ids(w) for w in words] == first
+
+
+def test_plain_words_are_cut_together(monkeypatch):
+    tok = packing.WordTokenizer(PATH)
+    words = ["plain", "Word,", "word", "ÉTÉ.", "été", "a-b", "x1", "...", "don't", "İx", "ﬁn", "a b", "\u0085", "中文!", "ét", "(so)", "?!x"]
+    want = [tok.whole.encode(w, add_special_tokens=False).ids for w in words]
+    odd, one = [], tok.ids
+    monkeypatch.setattr(tok, "ids", lambda w: odd.append(w.decode()) or one(w))
+    assert tok.lists("".join(w + "\n" for w in words)) == want
+    assert not {"plain", "Word,", "word", "ÉTÉ.", "été", "..."} & set(odd)
+    text = " ".join(words * 3)
+    (c,) = packing.chunks(pa.array([text, None, "plain"]))
+    ids, bounds = packing.token_ids(c, tok)
+    assert ids[: bounds[1]].tolist() == [*(i for x in want * 3 for i in x), packing.END] and bounds.tolist()[1:] == [bounds[1], bounds[1] + 1, len(ids)]
+
+
+def test_batches_meet_in_one_chunk(monkeypatch):
+    monkeypatch.setattr(packing, "_CHUNK", 100)
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array([i, None]), "text": ["x" * n, None]}) for i, n in enumerate((10, 20, 300, 5))]
+    got = list(packing._together(iter(batches)))
+    assert [k.to_pylist() for k, _ in got] == [[0, None, 1, None], [2, None], [3, None]]
+    assert [[len(x or "") for x in t.to_pylist()] for _, t in got] == [[10, 0, 20, 0], [300, 0], [5, 0]]
