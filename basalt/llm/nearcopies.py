@@ -292,8 +292,8 @@ def components(classes: DataFrame, slim: DataFrame) -> DataFrame:
             found = staged(_blocks(unsettled), "found")
             pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             good = staged(_verified(pairs, texts), "links").union(staged(_in_blocks(found.where("b is null"), texts), "links"))
-        links = links.union(good)
-        nodes = staged(connected_components(links), "nodes")
+        nodes = staged(connected_components(links.union(good)), "nodes")
+        links = nodes.select(F.col("node").alias("a"), F.col("root").alias("b"))  # they connect what all links so far do
     return nodes if nodes is not None else staged(connected_components(links), "nodes")
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from basalt.llm import simhash
+from basalt.llm import components, simhash
 from basalt.llm.components import connected_components
 
 
@@ -99,6 +99,17 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_what_is_flat_already_costs_no_round(spark, monkeypatch):
+    rounds, step = [], components._to_minimum
+    monkeypatch.setattr(components, "_to_minimum", lambda *a: rounds.append(1) or step(*a))
+    stars = [(i, i % 3) for i in range(30)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(stars, "a long, b long")).collect()))
+    assert got == dict(stars) and not rounds
+    joined = spark.createDataFrame([*got.items(), (27, 28)], "a long, b long")  # a result with one link more
+    assert dict(map(tuple, connected_components(joined).collect())) == {i: 2 if i % 3 == 2 else 0 for i in range(30)}
+    assert len(rounds) == 4  # two rounds of two steps
+
+
 def test_refined_groups_are_small():
     assert 2 ** simhash.unfixed_bits(7) <= simhash.GROUP and simhash.LEVELS >= 7
     assert simhash.unfixed_bits(9) < simhash.unfixed_bits(7)
