@@ -7,11 +7,11 @@ hubs may be broadcast. Slots of pieces are hashes and may meet ids by chance; th
 
 A frontier dealt by key joins without being moved: plain vertices' slots are their keys. Only the rows of hubs are sent to their further slots.
 
-Layout below the path: edges/ (slot, src, dst, other columns, degree), degrees/ (key, degree), hubs/ (key, pieces), and manifest.json, written last; a
+Layout below the path: edges/ (slot, src, dst, other columns), degrees/ (key, degree), hubs/ (key, pieces), and manifest.json, written last; a
 build that didn't finish has none and can't be opened.
 
-Defined cases: edges without a source or destination are left out; repeated edges are kept, those of one pair in one piece; an empty table gives an index
-without vertices; columns slot and degree of the input are an error, others are kept."""
+Defined cases: edges without a source or destination are left out; repeated edges are kept, those of one pair in one piece, unless build() is asked for distinct ones;
+an empty table gives an index without vertices; columns slot and degree of the input are an error, others are kept."""
 
 from __future__ import annotations
 
@@ -26,14 +26,21 @@ from pyspark.sql.types import StructType
 from basalt.session import scratch, width
 from basalt.sources import bucketed, files
 
-FORMAT, PROBE = 1, 64
-_PIECES, _LEAST, _MOST_SLOTS = 64, 1000, 4096
+FORMAT, PROBE = 2, 64
+_PIECES, _LEAST, _MOST_SLOTS, _HASHED = 64, 1000, 4096, 200_000
 
 
 def _slot(key: Column, piece: Column) -> Column:
     return F.when(piece == 0, key).otherwise(F.xxhash64(key, piece))
 
 
+def _count(edges: DataFrame, path: str) -> tuple[DataFrame, int, int]:
+    """(key, degree) of edges, written to path, and how many sources and edges there are."""
+    edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree")).write.mode("overwrite").parquet(path)
+    degrees = edges.sparkSession.read.parquet(path)
+    return degrees, *degrees.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0))).first()
+
+
 @dataclass(frozen=True)
 class Adjacency:
     edges: DataFrame
@@ -46,8 +53,11 @@ class Adjacency:
     path: str
 
     @staticmethod
-    def build(edges: DataFrame, path: str | None = None, *, buckets: int | None = None) -> Adjacency:
-        """Write edges (src, dst, ...) to a new path, a scratch one if None. They are read twice: for degrees, then to be dealt."""
+    def build(edges: DataFrame, path: str | None = None, *, buckets: int | None = None, distinct: bool = False) -> Adjacency:
+        """Write edges (src, dst, ...) to a new path, a scratch one if None. They are read twice: to count each source's, then to be dealt.
+
+        distinct keeps one of equal rows. They meet in the bucket that they are dealt to, so no exchange is made for it. Only rows of hubs, which are found by all
+        rows then, are made distinct before as well, or the repeats of one edge would lie in one bucket; they are read once more."""
         spark = edges.sparkSession
         path, buckets = path or scratch(spark, "adjacency"), buckets or width(spark)
         if {"slot", "degree"} & set(edges.columns):
@@ -55,18 +65,27 @@ class Adjacency:
         if files.exists(spark, f"{path}/manifest.json"):
             raise FileExistsError(f"{path} holds an adjacency index already")
         edges = edges.where("src is not null and dst is not null")
-        edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("degree")).write.mode("overwrite").parquet(f"{path}/degrees")
-        degrees = spark.read.parquet(f"{path}/degrees")
-        n_sources, n_edges = degrees.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0))).first()
+        counted, n_sources, n_edges = _count(edges, f"{path}/{'rows' if distinct else 'degrees'}")
         piece = max(_LEAST, -(-n_edges // (_PIECES * buckets)))
         pieces = F.ceil(F.col("degree") / piece).cast("bigint")
-        degrees.where(F.col("degree") > piece).select("key", pieces.alias("pieces")).coalesce(1).write.mode("overwrite").parquet(f"{path}/hubs")
-        n_hubs = spark.read.parquet(f"{path}/hubs").count()
-        known = edges.join(degrees.withColumnRenamed("key", "src"), "src")
-        at = F.when(F.col("degree") > piece, F.pmod(F.xxhash64("dst"), pieces)).otherwise(F.lit(0).cast("bigint"))
+        counted.where(F.col("degree") > piece).select("key", pieces.alias("pieces")).coalesce(1).write.mode("overwrite").parquet(f"{path}/hubs")
+        hubs = spark.read.parquet(f"{path}/hubs")
+        n_hubs = hubs.count()
         kept = [c for c in edges.columns if c not in ("src", "dst")]
-        stored = known.select(_slot(F.col("src"), at).alias("slot"), "src", "dst", *kept, "degree")
-        bucketed.write(stored, f"{path}/edges", "slot", buckets)
+        if n_hubs:
+            known = edges.join(F.broadcast(hubs.withColumnRenamed("key", "src")), "src", "left")
+            if distinct:
+                known = known.where("pieces is null").union(known.where("pieces is not null").distinct())
+            at = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("pieces")), F.lit(0).cast("bigint"))
+            stored = known.select(_slot(F.col("src"), at).alias("slot"), "src", "dst", *kept)
+        else:
+            stored = edges.select(F.col("src").alias("slot"), "src", "dst", *kept)
+        if distinct:
+            stored = stored.repartition(buckets, "slot").distinct()
+        table = bucketed.write(stored, f"{path}/edges", "slot", buckets, dealt=distinct)
+        if distinct:
+            _, n_sources, n_edges = _count(table, f"{path}/degrees")
+            files.delete(spark, f"{path}/rows")
         told = {"format": FORMAT, "buckets": buckets, "schema": stored.schema.jsonValue(), "n_edges": n_edges, "n_sources": n_sources, "n_hubs": n_hubs}
         files.write_text(spark, f"{path}/manifest.json", json.dumps(told, indent=1))
         return Adjacency.open(spark, path)
@@ -97,25 +116,32 @@ class Adjacency:
     def neighbours(self, *keys: int) -> DataFrame:
         """(src, dst, ...) of the out-edges of some vertices; ids that aren't there have none."""
         found = self._of(keys)
-        return (self.edges.where(F.col("src").isin(list(keys))) if found is None else found).drop("slot", "degree")
+        return (self.edges.where(F.col("src").isin(list(keys))) if found is None else found).drop("slot")
 
-    def messages(self, frontier: DataFrame, edge: Callable[[Column, Column], Column], *, argument: str = "weight", keys: Sequence[int] | None = None) -> DataFrame:
+    def messages(
+        self, frontier: DataFrame, edge: Callable[[Column, Column], Column], *, argument: str = "weight", keys: Sequence[int] | None = None, rows: int | None = None
+    ) -> DataFrame:
         """(key, value): edge(value, argument) for each out-edge of the frontier (key, value), by destination and not reduced yet.
 
-        argument is weight (1 where edges have none) or outdegree. keys: the frontier's keys where they are few and known, so that only their buckets are read."""
+        argument is weight (1 where edges have none) or outdegree. keys: the frontier's keys where they are few and known, so that only their buckets are read.
+        rows: how many rows the frontier has, where known. Up to _HASHED for each bucket are hashed, so that the edges needn't be sorted to meet them; else both sides are."""
         edges = self._of(keys) if keys is not None else None
         edges = self.edges if edges is None else edges
+        if argument == "outdegree":  # the same for all edges of a vertex
+            frontier = frontier.join(self.degrees, "key").select("key", edge(F.col("value"), F.col("degree")).alias("value"))
         # origin is the key once more, but not by the same name or expression, or the union below wouldn't count as dealt by slot
         sent = frontier.select(F.col("key").alias("slot"), "value", F.expr("key ^ 0L").alias("origin"))
         if self.n_hubs:
             hubs = frontier.select("key", "value").join(F.broadcast(self.hubs), "key")  # fewer than _PIECES * buckets
             rest = hubs.select("key", "value", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("pieces") - 1)).alias("piece"))
             sent = sent.union(rest.select(_slot(F.col("key"), F.col("piece")).alias("slot"), "value", F.col("key").alias("origin")).repartition(self.buckets, "slot"))
-        weight = F.col("weight") if "weight" in self.edges.columns else F.lit(1).cast("bigint")
-        arg = F.col("degree") if argument == "outdegree" else weight
+        if rows is not None and rows <= _HASHED * self.buckets:
+            sent = sent.hint("shuffle_hash")
         # not an equality, or it would be a second join key, by which the buckets aren't dealt
         met = sent.join(edges, "slot").where("(origin ^ src) = 0")
-        return met.select(F.col("dst").alias("key"), edge(F.col("value"), arg).alias("value"))
+        weight = F.col("weight") if "weight" in self.edges.columns else F.lit(1).cast("bigint")
+        value = F.col("value") if argument == "outdegree" else edge(F.col("value"), weight)
+        return met.select(F.col("dst").alias("key"), value.alias("value"))
 
 
 def adjacency(edges: DataFrame | Adjacency) -> Adjacency:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from basalt.functions import binary
 from basalt.operators import graph, paths
 from basalt.operators.adjacency import Adjacency
+from basalt.operators.runs import Runs
 
 
 def test_binary_reducers_match_a_model(spark, monkeypatch):
@@ -80,3 +81,14 @@ def test_many_searches_match_one_after_the_other(spark):
     assert empty.count() == 0
     with pytest.raises(ValueError, match="ids of their own"):
         paths.shortest_paths(index, spark.createDataFrame([(1, 2, 3), (1, 3, 4)], "search bigint, source bigint, target bigint"))
+
+
+def test_searches_meet_in_the_middle(spark, monkeypatch):
+    """A source with a wide tree of 37,448 vertices ahead: the search finds a leaf from both ends, without the tree."""
+    tree = spark.range(1, 37_449).selectExpr("(id - 1) div 8 as src", "id as dst")
+    asked = spark.createDataFrame([(1, 0, 37_448), (2, 0, 99_999), (3, 37_448, 0), (4, 5, 5), (5, 0, None)], "search bigint, source bigint, target bigint")
+    rows, append = [], Runs.append
+    monkeypatch.setattr(Runs, "append", lambda self, *a, **k: rows.append(append(self, *a, **k)) or rows[-1])
+    got = sorted(map(tuple, paths.shortest_paths(tree, asked).collect()))
+    want = [(1, 0, 4680), (1, 1, 584), (1, 2, 72), (1, 3, 8), (1, 4, 0), (4, 0, 5)]
+    assert got == want and sum(rows) < 200

@@ -139,3 +139,15 @@ def test_two_hundred_rounds_write_bytes_in_proportion(spark):
         at[i] = state.bytes_written
     assert at[200] < 2.4 * at[100] and len(state.runs) <= 9
     assert state.table().count() == 100_000
+
+
+def test_repeats_are_dropped_as_the_index_is_built(spark):
+    """Vertex 7 is a hub by its rows, most of them repeats of one edge."""
+    rows, edges = some_edges(spark)
+    repeated = edges.union(edges).union(spark.range(5000).selectExpr("7L", "10000L", "1 + 10007L % 5"))
+    index = Adjacency.build(repeated, distinct=True)
+    assert index.n_hubs >= 1 and index.n_edges == len(rows) and index.n_sources == len({s for s, _ in rows})
+    assert pairs(index.edges.select("src", "dst")) == sorted(rows) and not files.exists(spark, f"{index.path}/rows")
+    assert pairs(index.neighbours(7).select("dst")) == sorted((t,) for s, t in rows if s == 7)
+    assert dict(pairs(index.degrees)) == {s: sum(1 for x in rows if x[0] == s) for s, _ in rows}
+    assert dict(pairs(graph.sssp(index, 7))) == dict(pairs(graph.sssp(edges, 7)))
