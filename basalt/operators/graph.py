@@ -219,14 +219,17 @@ def pagerank(edges: DataFrame | Adjacency, rounds: int = 10, *, damping: float =
     """(key, value): rank = 1 - damping + damping * sum(rank / outdegree) for every vertex of the edges, from 1 each."""
     graph = adjacency(edges)
     n, path = graph.buckets, scratch(graph.edges.sparkSession, "ranks")
-    ends = graph.edges.select("src").union(graph.edges.select("dst")).groupBy(F.col("src").alias("key")).agg(F.lit(1.0).alias("value"))
-    ranks = start = bucketed.write(ends, f"{path}/0", "key", n)
+    ends = graph.degrees.select("key", "degree").union(graph.edges.select("dst", F.lit(None).cast("bigint"))).groupBy("key").agg(F.max("degree").alias("degree"))
+    start = bucketed.write(ends, f"{path}/0", "key", n, dealt=True)
+    ranks = start.select("key", F.lit(1.0).alias("value"), "degree")
     kept = None
     for i in range(1, rounds + 1):
-        sent = graph.messages(ranks, PAGERANK.edge, argument="outdegree").groupBy("key").agg(F.sum("value").alias("s"))
-        ranks = start.select("key").join(sent, "key", "left").select("key", (F.coalesce("s", F.lit(0.0)) * damping + (1 - damping)).alias("value"))
+        # a vertex's share is the same for all its edges, so they needn't carry its degree
+        shares = ranks.where("degree is not null").select("key", PAGERANK.edge(F.col("value"), F.col("degree")).alias("value"))
+        sent = graph.messages(shares, CONTRIBUTION.edge, rows=graph.n_sources).groupBy("key").agg(F.sum("value").alias("s"))
+        ranks = start.join(sent, "key", "left").select("key", (F.coalesce("s", F.lit(0.0)) * damping + (1 - damping)).alias("value"), "degree")
         if i % 4 == 0 and i < rounds:
             ranks, done, kept = bucketed.write(ranks, f"{path}/{i}", "key", n, dealt=True), kept, f"{path}/{i}"
             if done:
                 files.delete(graph.edges.sparkSession, done)
-    return ranks
+    return ranks.select("key", "value")

@@ -465,7 +465,7 @@ _ROUND = "v{i} AS (SELECT id, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(s, 0) AS x
 
 @query(f"WITH {_E1}, {_DEGREE}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), v0 AS (SELECT id, 1.0::DOUBLE AS x FROM n), " + ", ".join(_ROUND.format(i=i, j=i - 1) for i in range(1, 11)) + " SELECT id AS key, round(x, 6) AS value FROM v10")
 def pagerank_10(spark, d):
-    return graph.pagerank(_edges(spark, d), 10).withColumn("value", F.round("value", 6))
+    return graph.pagerank(_index(spark, d), 10).withColumn("value", F.round("value", 6))
 
 
 _RMAT = "[CAST('0x' || substr(md5(id || ':' || (i // 10) || ':1'), 3 * (i % 10) + 1, 3) AS INTEGER) % 1024 for i in range(20)]"

@@ -151,3 +151,19 @@ def test_repeats_are_dropped_as_the_index_is_built(spark):
     assert pairs(index.neighbours(7).select("dst")) == sorted((t,) for s, t in rows if s == 7)
     assert dict(pairs(index.degrees)) == {s: sum(1 for x in rows if x[0] == s) for s, _ in rows}
     assert dict(pairs(graph.sssp(index, 7))) == dict(pairs(graph.sssp(edges, 7)))
+
+
+def test_ranks_need_no_degree_at_an_edge(spark):
+    rows, edges = some_edges(spark, hub=1500)
+    index = Adjacency.build(edges.drop("weight"))
+    assert index.edges.columns == ["slot", "src", "dst"]
+    out, rank = {}, {v: 1.0 for r in rows for v in r}
+    for s, _ in rows:
+        out[s] = out.get(s, 0) + 1
+    for _ in range(5):
+        got = dict.fromkeys(rank, 0.0)
+        for s, t in rows:
+            got[t] += rank[s] / out[s]
+        rank = {v: 0.15 + 0.85 * x for v, x in got.items()}
+    found = dict(pairs(graph.pagerank(index, 5)))
+    assert found.keys() == rank.keys() and all(abs(found[k] - rank[k]) < 1e-9 for k in rank)
