@@ -140,7 +140,7 @@ def _loop(graph: Adjacency, state: Runs, program: GraphProgram, value: Callable[
             break
         keys = [r["key"] for r in front.table.select("key").collect()] if front.n_rows <= PROBE else None
         read, reduced = Observation(), Observation()
-        sent = graph.messages(value(front.table), program.edge, keys=keys).observe(read, F.count("*").alias("n"))
+        sent = graph.messages(value(front.table), program.edge, keys=keys, rows=front.n_rows).observe(read, F.count("*").alias("n"))
         found = sent.groupBy("key").agg(reducer(program.reduce, F.col("value")).alias("value")).observe(reduced, F.count("*").alias("n"))
         changed = state.append(changes(found, number))
         if trace is not None:

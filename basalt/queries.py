@@ -359,7 +359,7 @@ def superstep_hubs(spark, d):
 def bfs_rounds(spark, d):
     """What each superstep read, sent and changed, as its own write observed it."""
     trace: list[graph.Round] = []
-    graph.bfs(_edges(spark, d), 0, trace=trace)
+    graph.bfs(_index(spark, d), 0, trace=trace)
     return graph.rounds_table(spark, trace)
 
 
@@ -385,12 +385,12 @@ def superstep_outdeg(spark, d):
 
 @query(f"{_LEVELS} SELECT key, level FROM l")
 def bfs_levels(spark, d):
-    return graph.bfs(_edges(spark, d), 0).select("key", "level")
+    return graph.bfs(_index(spark, d), 0).select("key", "level")
 
 
 @query(f"{_LEVELS} SELECT level, count(*) AS n FROM l GROUP BY level")
 def bfs_level_counts(spark, d):
-    return graph.level_statistics(graph.bfs(_edges(spark, d), 0))
+    return graph.level_statistics(graph.bfs(_index(spark, d), 0))
 
 
 @query(
@@ -405,7 +405,7 @@ def bfs_level_report(spark, d):
 
 @query(f"{_LEVELS} SELECT l.key, CASE WHEN l.level = 0 THEN l.key ELSE (SELECT min(p.key) FROM l p JOIN e ON e.src = p.key WHERE e.dst = l.key AND p.level = l.level - 1) END AS parent FROM l")
 def bfs_parents(spark, d):
-    return graph.bfs(_edges(spark, d), 0).select("key", "parent")
+    return graph.bfs(_index(spark, d), 0).select("key", "parent")
 
 
 @query(

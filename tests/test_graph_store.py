@@ -167,3 +167,18 @@ def test_ranks_need_no_degree_at_an_edge(spark):
         rank = {v: 0.15 + 0.85 * x for v, x in got.items()}
     found = dict(pairs(graph.pagerank(index, 5)))
     assert found.keys() == rank.keys() and all(abs(found[k] - rank[k]) < 1e-9 for k in rank)
+
+
+def test_edges_are_not_sorted_to_meet_a_frontier_of_known_size(spark):
+    rows, edges = some_edges(spark, hub=0)
+    index = Adjacency.build(edges, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        front = bucketed.write(spark.range(50).selectExpr("id as key", "id as value"), index.path + "-front", "key", 4)
+        sent = index.messages(front, graph.SSSP.edge, rows=50)
+        text = plan(spark, sent)
+        assert "ShuffledHashJoin" in text and "Sort" not in text.replace("SortMergeJoin", "") and "Exchange" not in text
+        assert pairs(sent) == sorted((t, s + 1 + (s + t) % 5) for s, t in rows if 0 <= s < 50)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        files.delete(spark, index.path + "-front")
