@@ -261,13 +261,17 @@ def _edges(spark, d):
     return graph.prepare(_raw_edges(spark, d))
 
 
+def _weight(edges):
+    return edges.withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 7)
+
+
 def _weighted(spark, d):
-    return _edges(spark, d).withColumn("weight", 1 + (F.col("src") + F.col("dst")) % 7)
+    return _weight(_edges(spark, d))
 
 
-def _index(spark, d):
+def _index(spark, d, more=lambda edges: edges):
     """An index of _edges, whose repeats it drops as it is built."""
-    return Adjacency.build(_raw_edges(spark, d).where("src <> dst"), distinct=True)
+    return Adjacency.build(more(_raw_edges(spark, d).where("src <> dst")), distinct=True)
 
 
 @query(f"WITH {_E1} SELECT src, dst FROM e")
@@ -435,7 +439,7 @@ def shortest_paths_30(spark, d):
 
 @query(f"{_LEVELS} SELECT key, CAST(level AS BIGINT) AS value FROM l")
 def sssp_hops(spark, d):
-    return graph.sssp(_edges(spark, d), 0)
+    return graph.sssp(_index(spark, d), 0)
 
 
 @query(
@@ -443,7 +447,7 @@ def sssp_hops(spark, d):
     SELECT key, min(value) AS value FROM r GROUP BY key"""
 )
 def sssp_weighted(spark, d):
-    return graph.sssp(_weighted(spark, d), 0)
+    return graph.sssp(_index(spark, d, _weight), 0)
 
 
 @query(f"WITH {_E1}, {_DEGREE} SELECT id AS key, round(coalesce(1.0::DOUBLE / n, 0.01), 6) AS value FROM (SELECT unnest(range(0, (SELECT count(*) FROM part))) AS id) LEFT JOIN d ON src = id")
