@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.llm.quality import give_back
 from basalt.llm.store import staged
 from basalt.llm.textops import Chunk, chunks, gather
 
 CAPACITY, END = 2048, 0
 _CACHE_WORDS = 300_000
-_CHUNK = 1 << 23  # a chunk's different words are looked up once each, so larger ones have less to look up
+_CHUNK = 1 << 22  # a chunk's different words are looked up once each, so larger ones have less to look up, but are held whole
+_BLOCK = 1 << 16
 _SHIFT = 50
 # Latin letters that NFC leaves alone and whose lower case is one character; then ASCII punctuation without the apostrophe.
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -76,11 +79,12 @@ class WordTokenizer:
         self.words = Generations()
         self.parts = Generations()
 
-    def _part(self, s: str) -> list[int]:
+    def _part(self, s: str) -> bytes:
+        """The ids as 32-bit numbers: there are hundreds of thousands of parts in the cache, and a list of as many takes three times the memory."""
         got = self.parts.get(s)
         if got is None:
             raw = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
-            got = self.parts.put(s, [t.id for t in self.model.tokenize(raw)])
+            got = self.parts.put(s, array("I", [t.id for t in self.model.tokenize(raw)]).tobytes())
         return got
 
     def ids(self, word: bytes) -> list[int]:
@@ -90,11 +94,15 @@ class WordTokenizer:
         return got
 
     def lists(self, lines: str) -> list[list[int]]:
-        """The ids of each word, as ids() has them; a word and \\n on each line. Parts are told by one expression for all, and words of plain letters share them."""
+        """The ids of each word, as ids() has them; a word and \\n on each line."""
+        return [array("I", x).tolist() for x in self.packed(lines)]
+
+    def packed(self, lines: str) -> list[bytes]:
+        """What lists() has, as 32-bit numbers. Parts are told by one expression for all, and words of plain letters share them."""
         known, out = self.parts.young.get, []
         for letters, marks, rest in _LINES.findall(lines):
             if rest:
-                out.append(self.ids((letters + marks + rest).encode()))
+                out.append(array("I", self.ids((letters + marks + rest).encode())).tobytes())
             elif letters:
                 got = known(lower := letters.lower()) or self._part(lower)
                 out.append(got + (known(marks) or self._part(marks)) if marks else got)
@@ -106,12 +114,12 @@ class WordTokenizer:
         # one run of letters, then one of punctuation, is what the pattern would split
         core = word.rstrip(_MARKS)
         if core.isalpha():  # ASCII
-            got = self._part(core.lower().decode())
-            return got if len(core) == len(word) else got + self._part(word[len(core) :].decode())
+            marks = word[len(core) :].decode()
+            return array("I", self._part(core.lower().decode()) + (self._part(marks) if marks else b"")).tolist()
         text = word.decode("utf-8", "replace")
         if m := _PLAIN.fullmatch(text):
             letters, marks = m.groups()
-            return (self._part(letters.lower()) if letters else []) + (self._part(marks) if marks else [])
+            return array("I", (self._part(letters.lower()) if letters else b"") + (self._part(marks) if marks else b"")).tolist()
         return self.whole.encode(text, add_special_tokens=False).ids
 
 
@@ -125,19 +133,25 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def token_ids(c: Chunk, tok: WordTokenizer) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a chunk with END after each text, and where each text's ids begin (one more for the end)."""
+    """All ids of a chunk with END after each text, and where each text's ids begin (one more for the end). Words are cut and copied _BLOCK at a time."""
     first, kind = c.words
-    length = c.ends[first] - c.starts[first] + 1
-    lines = np.append(c.data, np.uint8(10))[gather(c.starts[first], length)]
-    lines[np.cumsum(length) - 1] = 10
-    lists = tok.lists(lines.tobytes().decode("utf-8", "replace"))
-    lists.append([END])
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-    begin = np.cumsum(sizes) - sizes
-    units = np.insert(kind, c.word_offsets[1:], len(lists) - 1)
-    ids = flat[gather(begin[units], sizes[units])]
-    total = np.concatenate([[0], np.cumsum(sizes[units])])
+    data, cut, sizes = np.append(c.data, np.uint8(10)), [], []
+    for a in range(0, len(first), _BLOCK):
+        at = first[a : a + _BLOCK]
+        length = c.ends[at] - c.starts[at] + 1
+        lines = data[gather(c.starts[at], length)]
+        lines[np.cumsum(length) - 1] = 10
+        packed = tok.packed(lines.tobytes().decode("utf-8", "replace"))
+        sizes.append(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
+        cut.append(np.frombuffer(b"".join(packed), np.uint32))
+    flat, each = np.concatenate([*cut, np.array([END], np.uint32)]), np.concatenate([*sizes, np.ones(1, np.int64)])
+    begin = np.cumsum(each) - each
+    units = np.insert(kind.astype(np.int32), c.word_offsets[1:], len(first))
+    total = np.concatenate([[0], np.cumsum(each[units])])
+    ids = np.empty(total[-1], np.uint32)
+    for a in range(0, len(units), _BLOCK):
+        some = units[a : a + _BLOCK]
+        ids[total[a] : total[a + len(some)]] = flat[gather(begin[some], each[some])]
     return ids, total[c.word_offsets + np.arange(c.last - c.first + 1)]
 
 
@@ -158,31 +172,34 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.
 def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, piece, start, length, ids_crc32, task, rank): rank counts the task's pieces of the same length."""
 
+    def rows(keys: pa.Array, c: Chunk, seen: np.ndarray) -> pa.RecordBatch:
+        ids, bounds = token_ids(c, tokenizer(vocabulary))
+        size = np.diff(bounds)
+        count = -(-size // capacity)
+        row = np.repeat(np.arange(len(size)), count)
+        piece = gather(np.zeros(len(size), np.int64), count)
+        start = piece * capacity
+        length = np.minimum(capacity, size[row] - start)
+        at = bounds[row] + start
+        raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+        order = np.argsort(length, kind="stable")
+        ordered = length[order]
+        rank = np.empty(len(length), np.int64)
+        rank[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered)
+        rank += seen[length]
+        np.add.at(seen, length, 1)
+        task = np.full(len(row), TaskContext.get().partitionId(), np.int32)
+        return pa.RecordBatch.from_arrays(
+            [keys.slice(c.first, c.last - c.first).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(task), pa.array(rank)],
+            names=["id", "piece", "start", "length", "ids_crc32", "task", "rank"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, task = tokenizer(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for keys, texts in _together(batches):
-            for c in chunks(texts, _CHUNK):
-                ids, bounds = token_ids(c, tok)
-                size = np.diff(bounds)
-                count = -(-size // capacity)
-                row = np.repeat(np.arange(len(size)), count)
-                piece = gather(np.zeros(len(size), np.int64), count)
-                start = piece * capacity
-                length = np.minimum(capacity, size[row] - start)
-                at = bounds[row] + start
-                raw = memoryview(ids.astype("<u4")).cast("B")
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-                order = np.argsort(length, kind="stable")
-                ordered = length[order]
-                rank = np.empty(len(length), np.int64)
-                rank[order] = np.arange(len(length)) - np.searchsorted(ordered, ordered)
-                rank += seen[length]
-                np.add.at(seen, length, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [keys.slice(c.first, c.last - c.first).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task, np.int32)), pa.array(rank)],
-                    names=["id", "piece", "start", "length", "ids_crc32", "task", "rank"],
-                )
+            yield from map(partial(rows, keys, seen=seen), chunks(texts, _CHUNK))  # holds no chunk while the next is made
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 

@@ -1,5 +1,6 @@
 import bisect
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -102,3 +103,31 @@ def test_batches_meet_in_one_chunk(monkeypatch):
     got = list(packing._together(iter(batches)))
     assert [k.to_pylist() for k, _ in got] == [[0, None, 1, None], [2, None], [3, None]]
     assert [[len(x or "") for x in t.to_pylist()] for _, t in got] == [[10, 0, 20, 0], [300, 0], [5, 0]]
+
+
+def test_a_worker_holds_little():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=12)) for _ in range(60_000)]
+    text = " ".join([*words, *words])
+    tok = packing.WordTokenizer(PATH)
+    (c,) = packing.chunks(pa.array([text]), len(text))
+    tracemalloc.start()
+    try:
+        ids, _ = packing.token_ids(c, tok)
+        del c
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(tok.parts.young) == len(set(words))
+    assert held - ids.nbytes < 240 * len(words)  # a part and its ids
+    assert peak < 28 * len(text)
+
+
+def test_blocks_of_words_change_nothing(monkeypatch):
+    texts = pa.array(["Some words, some MORE words; été x1", None, "", "words " * 30, "the last"])
+    (c,) = packing.chunks(texts)
+    want = [x.tolist() for x in packing.token_ids(c, packing.tokenizer(PATH))]
+    monkeypatch.setattr(packing, "_BLOCK", 3)
+    assert [x.tolist() for x in packing.token_ids(c, packing.tokenizer(PATH))] == want
+    whole = Tokenizer.from_file(PATH)
+    assert want[0] == [i for x in texts.to_pylist() for i in [*whole.encode(x or "", add_special_tokens=False).ids, packing.END]]
